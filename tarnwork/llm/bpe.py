@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tarnwork.llm.common import id_text, per_text
 
@@ -199,7 +200,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """tokens with a column decoded (binary), from ids as encode() gives them; null ids give empty bytes."""
-    schema = tokens.schema.add("decoded", "binary")
+    schema = StructType([*tokens.schema.fields, StructField("decoded", BinaryType())])
 
     def run(batches):
         for batch in batches:

@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwork.llm import bpe
+from tarnwork.llm import bpe, repetition, secrets
 from tarnwork.llm.common import table
 
 
@@ -28,5 +28,17 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), pattern())
 
 
-QUERIES = {"op2_byte_bpe": op2_byte_bpe}
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.quality(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
+    "op4_quality_rules": op4_quality_rules,
+    "op10_secret_scan": op10_secret_scan,
+}
 ORACLES: dict[str, str] = {}
