@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tarnwork.llm.common import id_text, per_text
+from tarnwork.llm.common import STEP_CHARS, id_text, per_text, pieces
 
 #: Upper bounds of the length buckets in bytes. Longer pieces (rare) go through the same merges in a heap, one at a time.
 BUCKETS = (4, 8, 12, 16, 24, 32, 64, 128, 256, 512)
 NONE = np.int32(2**31 - 1)
 #: Pieces that a worker remembers before it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 
 def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -76,6 +76,11 @@ class PairTable:
         return out
 
 
+def ranks_of(path: str) -> dict[bytes, int]:
+    with open(path if path.startswith("/") else SparkFiles.get(path), "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
 class Numbered(dict):
     """Numbers keys in the order in which they are first asked for."""
 
@@ -90,9 +95,7 @@ class Vocabulary:
     def __init__(self, path: str, pattern: str):
         import regex
 
-        with open(path, "rb") as f:
-            self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.token = {r: t for t, r in self.rank.items()}
+        self.rank = ranks_of(path)
         self.find = regex.compile(pattern).findall
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
         pairs = {}
@@ -183,7 +186,12 @@ class Vocabulary:
 
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str, pattern: str) -> Vocabulary:
-    return Vocabulary(path if path.startswith("/") else SparkFiles.get(path), pattern)
+    return Vocabulary(path, pattern)
+
+
+@functools.lru_cache(maxsize=2)
+def tokens_of(path: str) -> dict[int, bytes]:
+    return {r: t for t, r in ranks_of(path).items()}
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,10 +211,12 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids") ->
     schema = StructType([*tokens.schema.fields, StructField("decoded", BinaryType())])
 
     def run(batches):
+        token = tokens_of(path)
         for batch in batches:
-            token = vocabulary(path, pattern).token
-            got = [b"".join(map(token.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], [*batch.schema.names, "decoded"])
+            for at, n in pieces(batch.column(ids_col), 4 * STEP_CHARS):
+                part = batch.slice(at, n)
+                got = [b"".join(map(token.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column(ids_col).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], [*part.schema.names, "decoded"])
 
     return tokens.mapInArrow(run, schema)
 
