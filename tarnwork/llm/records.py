@@ -28,10 +28,12 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.bpe import REMEMBERED, Numbered, ragged
+from tarnwork.llm.bpe import Numbered, ragged
 from tarnwork.llm.common import new_dir, pieces
 
 FRAME, INDEX = struct.Struct("<QI"), np.dtype([("doc", "<i8"), ("offset", "<u8"), ("ids", "<u4")])
+#: Words that a worker remembers before it starts afresh.
+REMEMBERED = 700_000
 MASK = 0xA282EAD8
 BUFFER = 4 << 20
 
