@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwork.llm import bpe, lines, records, repetition, secrets
+from tarnwork.llm import bpe, lines, minhash, records, repetition, secrets
 from tarnwork.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality(table(spark, sf_dir, "documents"))
 
 
+def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_spread_lines(table(spark, sf_dir, "documents"), counts=True).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -47,6 +51,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
+    "op5_superminhash": op5_superminhash,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_records": op9_token_records,
     "op10_secret_scan": op10_secret_scan,
