@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwork.llm import bpe, lines, minhash, records, repetition, secrets
+from tarnwork.llm import bpe, covertree, langid, lines, minhash, records, repetition, secrets
 from tarnwork.llm.common import table
 
 
@@ -36,6 +36,14 @@ def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_spread_lines(table(spark, sf_dir, "documents"), counts=True).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -52,6 +60,8 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op5_superminhash": op5_superminhash,
+    "op6_language_id": op6_language_id,
+    "op7_cover_tree": op7_cover_tree,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_records": op9_token_records,
     "op10_secret_scan": op10_secret_scan,
