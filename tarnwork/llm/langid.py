@@ -28,7 +28,7 @@ UNKNOWN = "und"
 #: The bound of the training sample: rows for each language, and characters of a text that is taken.
 MAX_ROWS, MAX_CHARS = 1000, 20_000
 BUCKETS, DIM, GRAMS = 1 << 16, 16, (1, 2, 3, 4)
-EPOCHS, BATCH, RATE, WINDOW, SEED = 6, 64, 0.5, 40, 7
+EPOCHS, MIN_STEPS, BATCH, RATE, WINDOW, SEED = 6, 400, 64, 0.5, 40, 7
 #: Share of wrong predictions that acceptance may let through on the held-back part.
 MAX_WRONG = 0.005
 WORD = re.compile(r"[^\W\d_]+")
@@ -90,8 +90,10 @@ def train(texts: list[str], labels: list[str], seed: int = SEED) -> Model:
         w = coded[i][at : at + int(rng.integers(3, WINDOW + 1))]
         return np.concatenate([flat[start[k] : start[k] + count[k]] for k in w] or [np.empty(0, np.int64)])
 
-    steps, done = EPOCHS * -(-len(rows) // BATCH), 0
-    for _ in range(EPOCHS):
+    turn = max(1, -(-len(rows) // BATCH))
+    epochs, done = max(EPOCHS, -(-MIN_STEPS // turn)), 0
+    steps = epochs * turn
+    for _ in range(epochs):
         for own in np.array_split(rng.permutation(rows), -(-len(rows) // BATCH)) if len(rows) else []:
             f = [example(i) for i in own]
             size = np.array([len(x) for x in f])

@@ -7,7 +7,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwork.llm import bpe, covertree, langid, lines, minhash, records, repetition, secrets
+from tarnwork.llm import bpe, covertree, langid, lines, minhash, packing, records, repetition, secrets, wrappers
 from tarnwork.llm.common import table
 
 
@@ -24,10 +24,18 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), pattern())
 
 
+def op3_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality(table(spark, sf_dir, "documents"))
 
@@ -57,7 +65,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_html_wrappers": op3_html_wrappers,
     "op4_quality_rules": op4_quality_rules,
     "op5_superminhash": op5_superminhash,
     "op6_language_id": op6_language_id,
