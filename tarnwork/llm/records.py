@@ -34,6 +34,8 @@ from tarnwork.llm.common import new_dir, pieces
 FRAME, INDEX = struct.Struct("<QI"), np.dtype([("doc", "<i8"), ("offset", "<u8"), ("ids", "<u4")])
 #: Words that a worker remembers before it starts afresh.
 REMEMBERED = 700_000
+#: A word of one token that parts words in a call.
+SEPARATOR = b"\x01"
 MASK = 0xA282EAD8
 BUFFER = 4 << 20
 
@@ -56,6 +58,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path if path.startswith("/") else SparkFiles.get(path))
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        (self.separator,) = self.tokenizer.encode(SEPARATOR.decode(), add_special_tokens=False).ids
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.forget()
 
@@ -63,18 +66,34 @@ class WordTokenizer:
         self.known = Numbered()
         self.flat, self.start, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after the other, ids of each). Many words are one call, parted by a word of their own that no other has."""
+        runs = [words[k : k + 500] for k in range(0, len(words), 500)]
+        if any(SEPARATOR in w for w in words):
+            runs = [[w] for w in words]
+        texts = [f" {SEPARATOR.decode()} ".join(w.decode() for w in r) for r in runs]
+        flat, size = [], []
+        for run, made in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(made.ids, np.uint32)
+            parts = np.flatnonzero(ids == self.separator) if len(run) > 1 else np.empty(0, np.int64)
+            if len(parts) != len(run) - 1:
+                raise ValueError("the tokenizer does not keep words apart")
+            ends = np.append(parts, len(ids))
+            size.append(np.diff(ends, prepend=-1) - 1)
+            flat.append(np.delete(ids, parts))
+        return np.concatenate(flat), np.concatenate(size)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > REMEMBERED:
             self.forget()
         before, words = len(self.known), [t.encode().split() for t in texts]
         counts = [len(x) for x in words]
         at = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(words)), np.int64, sum(counts))
-        if new := [w.decode() for w in itertools.islice(self.known, before, None)]:
-            ids = [x.ids for k in range(0, len(new), 10_000) for x in self.tokenizer.encode_batch_fast(new[k : k + 10_000], add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
+        if new := list(itertools.islice(self.known, before, None)):
+            ids, size = self._encoded(new)
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))])
+            self.flat = np.concatenate([self.flat, ids])
         size = self.size[at]
         cut = np.concatenate([[0], np.cumsum(size)])[np.cumsum(counts)[:-1]] if counts else []
         return np.split(ragged(self.flat, self.start[at], size), cut) if texts else []
