@@ -60,7 +60,7 @@ def item_name(item: Column) -> Column:
     return F.coalesce(F.when(F.schema_of_variant(item) == "STRING", F.try_variant_get(item, "$", "string")), _first_text(item, ("name", "filename", "fileName", "key", "s3Key")))
 
 
-def qualifiers(raw: Column, keys: tuple[str, ...] = ("qualifierCode", "qualifierDescription", "qualifierID")) -> Column:
+def qualifiers(raw: Column, keys: tuple[str, ...] = ("qualifierCode", "value", "qualifierDescription")) -> Column:
     """A comma-joined text of a scalar, or of a list of texts and objects; objects without a usable key are left out."""
     v = F.try_parse_json(raw)
     listed = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tarnwork.functions.calendar import camera_time, local_image_name
-from tarnwork.functions.text import basename, item_name, items_of
+from tarnwork.functions.text import basename, item_name, items_of, qualifiers
 from tarnwork.operators.timeseries import keep_first
 
 RETRIES, TIMEOUT, IMAGE_TIMEOUT, CHUNK = 3, 120, 180, 32768
@@ -123,14 +123,14 @@ def listed_images(payloads: DataFrame, base_url: str) -> DataFrame:
 
 GAUGE = (
     "value struct<timeSeries:array<struct<variable:struct<variableCode:array<struct<value:string>>,variableName:string,unit:struct<unitCode:string>>,"
-    "sourceInfo:struct<siteCode:array<struct<value:string>>>,values:array<struct<qualifier:array<variant>,method:array<struct<methodDescription:string>>,"
-    "value:array<struct<dateTime:string,value:string,qualifiers:array<string>>>>>>>>"
+    "sourceInfo:struct<siteCode:array<struct<value:string>>>,values:array<struct<qualifier:string,method:array<struct<methodDescription:string>>,"
+    "value:array<struct<dateTime:string,value:string>>>>>>>"
 )
 
 
 def gauge_readings(payloads: DataFrame, source: str = "") -> DataFrame:
-    """datetime_utc, site_no, variable_cd, variable_name, unit, value, qualifiers, method, source of nested gauge payloads; readings without time or value are left out."""
-    parsed = payloads.select("key", F.from_json("payload", GAUGE.replace("array<variant>", "string")).alias("p"))
+    """datetime_utc, site_no, variable_cd, variable_name, unit, value, qualifiers, method, source of nested gauge payloads; readings without a time are left out."""
+    parsed = payloads.select("key", F.from_json("payload", GAUGE).alias("p"))
     series = parsed.select("key", F.explode("p.value.timeSeries").alias("s"))
     block = series.select("key", "s", F.explode("s.values").alias("b"))
     r = block.select("key", "s", "b", F.explode("b.value").alias("v"))
@@ -138,10 +138,10 @@ def gauge_readings(payloads: DataFrame, source: str = "") -> DataFrame:
     site = F.coalesce(F.get(F.col("s.sourceInfo.siteCode"), F.lit(0))["value"], F.col("key"))
     out = r.select(
         F.try_to_timestamp("v.dateTime").cast("timestamp_ntz").alias("datetime_utc"), site.alias("site_no"), code.alias("variable_cd"), F.col("s.variable.variableName").alias("variable_name"),
-        F.col("s.variable.unit.unitCode").alias("unit"), F.col("v.value").try_cast("double").alias("value"), F.coalesce(F.array_join("v.qualifiers", ","), F.lit("")).alias("qualifiers"),
+        F.col("s.variable.unit.unitCode").alias("unit"), F.col("v.value").try_cast("double").alias("value"), qualifiers(F.col("b.qualifier")).alias("qualifiers"),
         F.coalesce(F.get(F.col("b.method"), F.lit(0))["methodDescription"], F.lit("")).alias("method"), F.lit(source).alias("source"),
     )
-    return out.dropna(subset=["datetime_utc", "value"])
+    return out.dropna(subset=["datetime_utc"])
 
 
 def download(listing: DataFrame, existing: DataFrame | None, folder: str, parallel: int = 64) -> tuple[DataFrame, DataFrame]:

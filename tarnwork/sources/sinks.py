@@ -64,8 +64,13 @@ def split_links(manifest: DataFrame, root: str) -> DataFrame:
 
 
 def reference_names(df: DataFrame, site: str, value: str = "discharge") -> DataFrame:
-    """Adds reference_image_path's name: site, variant, value and source name as safe parts."""
-    from tarnwork.functions.text import basename, safe_token
+    """Adds reference_name and roi_name of chosen rows: site and variant, with target, actual value and time as safe parts, and the source's extension."""
+    from tarnwork.functions.text import safe_token
 
-    name = F.concat_ws("__", safe_token(F.col(site)), "variant", F.concat(F.lit("q"), F.format_string("%.3f", F.col(value).cast("double"))), safe_token(basename(F.col("image_path"))))
-    return df.withColumn("reference_name", name)
+    def number(c: str):
+        return safe_token(F.regexp_replace(F.round(F.col(c).cast("double"), 3).cast("string"), "E", "e"))
+
+    stem = F.concat_ws("_", site, "variant")
+    ext = F.coalesce(F.nullif(F.lower(F.regexp_extract("image_path", r"(\.[^./]*)$", 1)), F.lit("")), F.lit(".jpg"))
+    name = F.concat(stem, F.lit("__target_"), number("target"), F.lit("__actual_"), number(value), F.lit("__"), safe_token(F.col("image_time").cast("string")), ext)
+    return df.withColumns({"reference_name": name, "roi_name": F.concat(stem, F.lit(".json"))})
