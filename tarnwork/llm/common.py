@@ -58,7 +58,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = new_dir(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tarnwork_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what written() wrote; for frames that nothing will read again."""
+    for df in frames:
+        if path := getattr(df, "_tarnwork_path", None):
+            remove(df.sparkSession, path)
 
 
 def free_name(df: DataFrame, want: str) -> str:

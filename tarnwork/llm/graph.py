@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import written
+from tarnwork.llm.common import discard, written
 
 
 class Forest:
@@ -59,6 +59,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         new = written(small, "small")
+        discard(edges, down)
         star = new.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() == 0
         if star and new.join(new.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count() == 0:
             return new.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(new.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

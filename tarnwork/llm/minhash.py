@@ -7,9 +7,9 @@ and a set's registers keep minima. As values grow with j, a set whose registers
 few steps. Registers are cut into bands; equal bands make a bucket.
 
 In a bucket, every member is verified on full sets against the smallest id (the hub) only, so work grows with the bucket's
-size and not with its square. Union-find joins what is linked. Members that are still in different groups of a bucket are then
-compared with each other, except where set sizes or the distances to the hub (Jaccard distance is a metric) exclude a link. So
-every bucket's links are respected exactly, with no cap on buckets.
+size and not with its square. Union-find joins what is linked. Members that are still in different groups of a bucket are
+compared with each other only where the sizes of the sets and the frequencies of their shingles allow a link (open_pairs), and
+those are verified on full sets too. So every bucket's links are respected exactly, with no cap on buckets.
 
 The chance that a pair at the limit of 0.75 shares none of the 32 bands of 4 registers is 5e-6, and less above it.
 
@@ -25,11 +25,11 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.llm.bpe import Numbered
-from tarnwork.llm.common import id_text, per_text, written
+from tarnwork.llm.common import discard, id_text, per_text, written
 from tarnwork.llm.graph import components
 
 WORDS, PERCENT = 5, 75
@@ -37,6 +37,8 @@ BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 #: Candidate ids up to which their set is broadcast (8 bytes each); beyond, a shuffled join does the same.
 BROADCAST_IDS = 1_000_000
+#: Documents up to which a shingle counts as rare.
+RARE = 32
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -143,6 +145,41 @@ def only(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return df.join(ids, df[column] == ids["id"], "left_semi")
 
 
+def _tokens(batches):
+    """(id, set) -> (id, s) for each shingle."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            own = np.frombuffer(batch.column(1)[i].as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column(0)[i].as_py())), pa.array(own)], ["id", "s"])
+
+
+def open_pairs(rest: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(pairs, what was written for them): the pairs (a, b) of `rest` (key, id, n, component) that can still be linked: other components, one bucket or a rare shingle shared.
+
+    A linked pair shares at least 0.75 / 1.75 of the sum of its sizes. Shingles that only one of these documents has are no
+    help, which excludes most. With shingles ordered from rare to common, a linked pair's rarest common shingle lies in the
+    prefix of both sets. If that is rare (RARE documents at most), an index of prefixes finds the pair; if not, the pair
+    shares common shingles only, and both need enough of those, which is asked of pairs in a bucket.
+    """
+    docs = rest.select("id", "n", "component").distinct()
+    held = sets.join(docs.select("id").distinct(), "id", "left_semi").select("id", "set")
+    token = written(held.mapInArrow(_tokens, "id long, s long"), "tokens")
+    df = token.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    known = token.join(df, "s")
+    counts = known.groupBy("id").agg(F.count("*").alias("shared"), F.count_if(F.col("df") > RARE).alias("frequent"))
+    docs = docs.join(counts, "id").where(f"100 * shared >= {PERCENT} * n")
+    docs = written(docs, "open")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "s"))
+    prefix = known.join(docs, "id").withColumn("place", place).where(f"df <= {RARE} and place <= shared - ceil({PERCENT} * n / 100) + 1")
+    prefix = prefix.select("s", "id", "n", "component", "shared")
+    apart = f"x.component != y.component and x.id < y.id and 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n) and {100 + PERCENT} * least(x.%s, y.%s) >= {PERCENT} * (x.n + y.n)"
+    found = []
+    for rows, on, enough in ((prefix, "s", "shared"), (rest.select("key", "id").join(docs, "id"), "key", "frequent")):
+        pairs = rows.alias("x").join(rows.alias("y"), F.expr(f"x.{on} = y.{on} and {apart % (enough, enough)}"))
+        found.append(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+    return found[0].unionByName(found[1]).distinct(), [token, docs]
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id long, kept boolean) for each row; integer ids."""
     texts = id_text(docs, id_col, text_col).select(F.col("_id").cast("long").alias("_id"), "_text")
@@ -163,19 +200,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = tested.where(f"100 * common >= {PERCENT} * both").select("a", "b")
     group = written(components(linked), "groups")
 
-    placed = buckets.join(group, "id", "left").select("key", "id", "n", "hub", F.coalesce("component", "id").alias("component"))
+    placed = buckets.join(group, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    to_hub = tested.groupBy(F.col("a").alias("hub"), F.col("b").alias("id")).agg(F.min(1 - F.col("common") / F.col("both")).alias("far"))
-    rest = placed.join(mixed, "key", "left_semi").where("id != hub").join(to_hub, ["hub", "id"])
-    rest = written(rest.select("key", "id", "n", "component", "far"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    apart = F.expr(f"x.component != y.component and x.id < y.id and 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n) and abs(x.far - y.far) <= {1 - PERCENT / 100} + 1e-9")
-    more = x.join(y, F.expr("x.key = y.key") & apart).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = verify(more, sets).where(f"100 * common >= {PERCENT} * both").select("a", "b")
+    rest = written(placed.join(mixed, "key", "left_semi"), "rest")
+    pairs, used = open_pairs(rest, sets)
+    more = written(verify(pairs, sets).where(f"100 * common >= {PERCENT} * both").select("a", "b"), "more")
     stars = group.where("id != component").select(F.col("component").alias("a"), F.col("id").alias("b"))
     repeated = member.where("rep != id").groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")  # one id, several texts
     repeated = repeated.select(F.explode(F.array("lo", "hi")).alias("a"), F.col("id").alias("b"))
-    final = components(written(stars.unionByName(more).unionByName(repeated), "links"))
+    links = written(stars.unionByName(more).unionByName(repeated), "links")
+    final = components(links)
+    discard(signed, keyed, buckets, candidates, sets, tested, group, rest, *used, more, links)
     out = member.join(final.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
