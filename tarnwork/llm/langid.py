@@ -74,34 +74,37 @@ def train(texts: list[str], labels: list[str], seed: int = SEED) -> Model:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
     rng = np.random.default_rng(seed)
     y = np.array([languages.index(x) for x in labels])
-    words = [WORD.findall(t.lower()) for t in texts]
-    vocabulary = Numbered()
-    coded = [np.fromiter(map(vocabulary.__getitem__, w), np.int64, len(w)) for w in words]
-    flat, count = grams(list(vocabulary))
-    start = np.cumsum(count) - count
+    vocabulary, coded = Numbered(), []
+    for t in texts:
+        own = WORD.findall(t.lower())
+        coded.append(np.fromiter(map(vocabulary.__getitem__, own), np.int32, len(own)))
+    vocabulary = list(vocabulary)
     table = rng.uniform(-1, 1, (BUCKETS, DIM)) / DIM
     layer, bias = np.zeros((DIM, len(languages))), np.zeros(len(languages))
-    rows = rng.permutation([i for i, w in enumerate(coded) if len(w) and count[w].sum()])
+    rows = rng.permutation([i for i, w in enumerate(coded) if len(w)])
     held = rows[: len(rows) // 5] if len(rows) >= 50 else rows
     rows = rows[len(rows) // 5 :] if len(rows) >= 50 else rows
 
-    def example(i: int) -> np.ndarray:
-        at = rng.integers(0, max(1, len(coded[i]) - WINDOW + 1))
-        w = coded[i][at : at + int(rng.integers(3, WINDOW + 1))]
-        return np.concatenate([flat[start[k] : start[k] + count[k]] for k in w] or [np.empty(0, np.int64)])
+    def examples(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(n-grams of a window of words of each row, how many each has)."""
+        parts = []
+        for i in own:
+            at = rng.integers(0, max(1, len(coded[i]) - WINDOW + 1))
+            parts.append(coded[i][at : at + int(rng.integers(3, WINDOW + 1))])
+        flat, count = grams([vocabulary[k] for w in parts for k in w])
+        return flat, np.add.reduceat(count, np.cumsum([0, *map(len, parts[:-1])]))
 
     turn = max(1, -(-len(rows) // BATCH))
     epochs, done = max(EPOCHS, -(-MIN_STEPS // turn)), 0
     steps = epochs * turn
     for _ in range(epochs):
         for own in np.array_split(rng.permutation(rows), -(-len(rows) // BATCH)) if len(rows) else []:
-            f = [example(i) for i in own]
-            size = np.array([len(x) for x in f])
-            own, f, size = own[size > 0], [x for x in f if len(x)], size[size > 0]
+            f, size = examples(own)
+            own, size = own[size > 0], size[size > 0]
             done += 1
-            if not f:
+            if not len(own):
                 continue
-            rate, f = RATE * (1 - (done - 1) / steps), np.concatenate(f)
+            rate = RATE * (1 - (done - 1) / steps)
             hidden = np.add.reduceat(table[f], np.cumsum(size) - size) / size[:, None]
             z = hidden @ layer + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -115,10 +118,11 @@ def train(texts: list[str], labels: list[str], seed: int = SEED) -> Model:
             np.add.at(push, where, np.repeat(back / size[:, None], size, axis=0))
             table[at] -= rate * push
     model = Model(languages, (table @ layer).astype(np.float32), bias)
-    parts = [example(i) for i in held for _ in range(2)]
-    truth, n = np.repeat(y[held], 2), np.array([len(x) for x in parts])
-    sums = np.array([model.logits[x].sum(axis=0) for x in parts]).reshape(len(parts), len(languages))
-    if len(languages) > 1 and len(parts):
+    held = np.repeat(held, 2)
+    flat, n = examples(held) if len(held) else (np.empty(0, np.int64), np.empty(0, np.int64))
+    truth, owner = y[held], np.repeat(np.arange(len(held)), n)
+    sums = np.stack([np.bincount(owner, model.logits[flat, k], len(held)) for k in range(len(languages))], axis=1)
+    if len(languages) > 1 and len(held):
         def loss(t: float) -> float:
             model.temperature = t
             return -np.log(np.maximum(model.scores(sums, n)[np.arange(len(truth)), truth], 1e-12)).mean()
