@@ -126,7 +126,8 @@ def roi(spark: SparkSession, path: str) -> DataFrame:
 
 def images(spark: SparkSession, path: str) -> DataFrame:
     """Spark's image source; what can't be decoded keeps its path, with height -1."""
-    return spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(path)
+    names = ",".join(f"*.{e}" for x in IMAGE_EXTENSIONS for e in (x, x.upper()))
+    return spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).option("pathGlobFilter", f"{{{names}}}").load(path)
 
 
 def features(df: DataFrame, truth: str = "discharge", years: tuple[int, ...] | None = None, drop_sentinel: bool = True) -> DataFrame:
