@@ -6,8 +6,8 @@ what only one side has becomes optional, text that differs becomes a free slot,
 the template. Partial wrappers are made where pages are read, equal ones are merged, and they meet in two rounds, so that no
 task holds a host's pages; a wrapper grows with the template and not with the number of pages.
 
-The wrapper names the group with the host's main text: an article, a main element, or else the one with most free text outside
-menus, headers, footers, sidebars, notices, adverts, forms and comments. A page's text is what lies in that group (or, where
+The wrapper names the group with the host's main text: an article, a main element, one that is named as content, or else the
+innermost that holds all text outside menus, headers, footers, sidebars, notices, adverts, forms and comments. A page's text is what lies in that group (or, where
 the page lacks it, in the page's own best group), block by block, without such zones and without short constants of the
 template. Character references are decoded, white space in a block becomes one space, blocks are joined by a line feed.
 
@@ -55,7 +55,7 @@ ZONE_WORDS = frozenset(
 HEAD_WORDS = frozenset("header masthead".split())
 MAIN_WORDS = frozenset("article content post entry story main body text".split())
 #: Words of a constant that may be left out, and pages that must share it.
-SHORT, SHARED = 12, 4
+SHORT, SHARED = 12, 20
 #: A host's partial wrappers meet in so many parts first.
 PARTS = 32
 #: Groups nest so deep; deeper ones still part blocks, and their text goes to the group above.
@@ -227,7 +227,7 @@ def main_path(wrapper: list) -> tuple[str, ...]:
         if path and not words:
             return
         rank = 3 if tag == "article" or "articlebody" in own else 2 if tag == "main" else 1 if tag in ("div", "section", "td") and set(own) & MAIN_WORDS else 0
-        if path and (rank or words * 10 >= whole * 7):
+        if path and (rank or words == whole):
             found.append((rank, words if rank else 0, len(path) if not rank else -len(path), path))
         for k in w[3]:
             if k[0] != "#":
@@ -249,7 +249,7 @@ def constants(wrapper: list, path: tuple[str, ...]) -> set[str]:
 
     def walk(w: list) -> None:
         if w[0] != "#":
-            for k in w[3]:
+            for k in [] if w[1] else w[3]:  # what only some pages have is theirs
                 walk(k)
         elif w[3] is None:
             free[0] += 1

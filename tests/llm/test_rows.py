@@ -141,7 +141,7 @@ def test_secrets_like_brute_force(spark, sf, texts, odd, empty):
 
 
 def test_checked_secrets_and_redaction(spark):
-    good, bad = github_token("a1B2" * 7 + "xy"), "ghp_" + "a" * 36
+    good, bad = github_token("a1B2" * 7 + "xy"), "ghp_" + "z" * 36
     text = f"x {good} y {bad} token={good} end"
     assert [secrets.KINDS[k] for _, k, _ in secrets.spans(text)] == ["github", "assign", "github"]
     assert secrets.redacted(text) == f"x [REDACTED] y {bad} [REDACTED] end"
