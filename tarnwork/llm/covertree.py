@@ -10,7 +10,8 @@ A pair of blocks returns how many links each vector has there and one edge from
 reaches, so output grows with vectors and not with pairs of a group. Counts are summed and edges joined by union-find.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of different length do
-not either. Rows with the same id count as one vector (the smallest in order of components).
+not either. Rows with the same id count as one vector (the smallest in order of components);
+rows without an id link with nothing and are kept.
 """
 
 from __future__ import annotations
@@ -182,7 +183,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     square = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    good = rows.where(fine).where((square > 0) & (square < float("inf")))
+    good = rows.where(fine & F.col("id").isNotNull()).where((square > 0) & (square < float("inf")))
     if rows.groupBy("id").count().where("count > 1").limit(1).count():
         good = good.groupBy("id").agg(F.min("v").alias("v"))
     counts = {r["d"]: r["count"] for r in good.groupBy(F.size("v").alias("d")).count().collect()}
@@ -249,4 +250,4 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     groups = components(found.select(F.col("id").alias("a"), F.col("least").alias("b")))
     out = rows.select("id").join(links, "id", "left").join(groups, "id", "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -187,4 +187,4 @@ def identify(docs: DataFrame, folds: int = 4, held_fold: int = 2) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected): learned from the rows outside the held-out fold, predicted for all."""
     fold = F.crc32(F.col("doc_id").cast("string")) % folds
     model = fit(docs, fold != held_fold)
-    return predict(docs, model).select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % folds == held_fold).alias("held_out"), "lang_pred", "score", "rejected")
+    return predict(docs, model).select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held_fold, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")

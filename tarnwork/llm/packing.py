@@ -1,7 +1,7 @@
 """Conflict-constrained best-fit packing of documents into bins of fixed capacity.
 
 Documents are dealt by a hash of their id to blocks of bounded size, each packed by itself; texts take no part. Within a block
-they come longest first (ties by id, then by cluster). Bins stand in order of what they have left; each carries a bitmap of its
+they come longest first (ties by id, missing ids first, then by cluster). Bins stand in order of what they have left; each carries a bitmap of its
 sources and one of its duplicate clusters. The search starts at the successor of the document's length and goes on until the
 tightest bin that has neither the document's source nor its cluster is found; else a new bin opens. Longer documents are cut
 into pieces: full ones take a bin each, the rest is packed like a document. Nothing is dropped.
@@ -78,7 +78,7 @@ def pack_block(ids: list, sizes: list[int], sources: list, clusters: list, capac
             todo.append((capacity, i, piece))
         if rest:
             todo.append((rest, i, full))
-    todo.sort(key=lambda x: (-x[0], ids[x[1]], str(clusters[x[1]]), x[2], x[1]))
+    todo.sort(key=lambda x: (-x[0], ids[x[1]] is not None, ids[x[1]] or 0, str(clusters[x[1]]), x[2], x[1]))
     for n, i, piece in todo:
         out.append((i, piece, n, *bins.place(n, known[sources[i]], shared.get(clusters[i], -1))))
     return out

@@ -10,7 +10,7 @@ Tasks write to a name of their own and rename when done, so a task that is run a
 folder that all executors share, through pyarrow.fs. Only one row for each shard reaches the driver.
 
 Null text counts as empty: its record has the end id alone. Rows with the same document number follow each other, ordered by
-text. An empty table writes no record. Other columns are not read.
+text; those without one come first. An empty table writes no record. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ REMEMBERED = 700_000
 SEPARATOR = b"\x01"
 MASK = 0xA282EAD8
 BUFFER = 4 << 20
+#: Stands for a missing document number.
+NO_DOC = -(1 << 63)
 
 
 def masked(data: bytes) -> int:
@@ -115,7 +117,7 @@ def write(docs: DataFrame, path: str, end_id: int, out_dir: str | None = None, s
     spark = docs.sparkSession
     out_dir = out_dir or new_dir(spark, "records")
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_DOC)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, tok = TaskContext.get().partitionId(), tokenizer(path)
@@ -196,4 +198,5 @@ def read(manifest: DataFrame) -> DataFrame:
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.repartition(n, "shard").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    out = manifest.repartition(n, "shard").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_DOC)))

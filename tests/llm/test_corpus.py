@@ -273,3 +273,16 @@ def test_pipeline_stage_by_stage(spark, sf):
     for _, stage in p.STAGES:
         assert stage(spark, odd.where("false"), sf).count() == 0
         stage(spark, odd, sf).collect()
+
+
+def test_rows_without_an_id(spark, sf):
+    from tarnwork.llm import bpe, langid, records, repetition, secrets
+
+    rows = [(None, "a b c d e f", "en", None, 1), (None, "a b c d e f", None, "s", 1), (None, None, None, None, None), (4, "a b c d e f", "en", "s", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    assert sorted(map(repr, map(tuple, minhash.near_duplicates(df).collect()))) == sorted(map(repr, [(None, 2, 4, False), (None, 2, 4, False), (None, 0, None, True), (4, 2, 4, True)]))
+    assert packing.pack_documents(df).count() == lines.drop_spread_lines(df).count() == langid.identify(df).where("not held_out").count() == 4
+    assert records.read(records.write(df, queries.tokenizer_path("word_bpe_49k.json"), 2)).where("doc_id is null").count() == 3
+    assert bpe.encode(df, queries.tokenizer_path("byte_bpe_multi_50k.tiktoken"), queries.pattern()).count() == repetition.quality(df).count() == secrets.find_secrets(df).count() == 4
+    v = spark.createDataFrame([(None, [1.0, 0.0]), (None, [1.0, 0.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    assert {tuple(r) for r in covertree.near_vectors(v).collect()} == {(None, 0, None, True), (1, 0, 1, True)}
