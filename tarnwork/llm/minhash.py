@@ -38,7 +38,7 @@ REGISTERS = BANDS * ROWS
 #: Candidate ids up to which their set is broadcast (8 bytes each); beyond, a shuffled join does the same.
 BROADCAST_IDS = 1_000_000
 #: Documents up to which a shingle counts as rare.
-RARE = 32
+RARE = 64
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -173,9 +173,12 @@ def open_pairs(rest: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[DataFr
     prefix = known.join(docs, "id").withColumn("place", place).where(f"df <= {RARE} and place <= shared - ceil({PERCENT} * n / 100) + 1")
     prefix = prefix.select("s", "id", "n", "component", "shared")
     apart = f"x.component != y.component and x.id < y.id and 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n) and {100 + PERCENT} * least(x.%s, y.%s) >= {PERCENT} * (x.n + y.n)"
+    keys = rest.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    placed = rest.select("key", "id").distinct().join(docs.where("frequent > 0").join(keys, "id"), "id")
+    once = "x.key = array_min(array_intersect(x.keys, y.keys))"  # of the buckets that a pair shares, one speaks for it
     found = []
-    for rows, on, enough in ((prefix, "s", "shared"), (rest.select("key", "id").join(docs, "id"), "key", "frequent")):
-        pairs = rows.alias("x").join(rows.alias("y"), F.expr(f"x.{on} = y.{on} and {apart % (enough, enough)}"))
+    for rows, on, enough, more in ((prefix, "s", "shared", "true"), (placed, "key", "frequent", once)):
+        pairs = rows.alias("x").join(rows.alias("y"), F.expr(f"x.{on} = y.{on} and {apart % (enough, enough)} and {more}"))
         found.append(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
     return found[0].unionByName(found[1]).distinct(), [token, docs]
 
