@@ -14,7 +14,7 @@ those are verified on full sets too. So every bucket's links are respected exact
 The chance that a pair at the limit of 0.75 shares none of the 32 bands of 4 registers is 5e-6, and less above it.
 
 Texts that are null, empty or all white space have no shingles and link with nothing. Rows with the same id count as one node
-of the graph, linked by any of its texts. Equal texts always share a component. Texts are taken whole.
+of the graph, linked by any of its texts; rows without an id only belong to their equals. Equal texts always share a component. Texts are taken whole.
 """
 
 from __future__ import annotations
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(signed, keyed, buckets, candidates, sets, tested, group, rest, *used, more, links)
     out = member.join(final.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
