@@ -53,13 +53,13 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.where("a != b").select("a", "b").mapInArrow(_forest, "a long, b long"), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        least = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")  # written, so that the join can split a hot node
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         down = written(large, "large")  # a > b
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        lower = written(down.groupBy("a").agg(F.min("b").alias("m")), "lower")
+        small = down.join(lower, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         new = written(small, "small")
-        discard(edges, down)
+        discard(edges, least, down, lower)
         star = new.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() == 0
         if star and new.join(new.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count() == 0:
             return new.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(new.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -164,7 +164,7 @@ def open_pairs(rest: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[DataFr
     docs = rest.select("id", "n", "component").distinct()
     held = sets.join(docs.select("id").distinct(), "id", "left_semi").select("id", "set")
     token = written(held.mapInArrow(_tokens, "id long, s long"), "tokens")
-    df = token.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    df = written(token.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
     known = token.join(df, "s")
     counts = known.groupBy("id").agg(F.count("*").alias("shared"), F.count_if(F.col("df") > RARE).alias("frequent"))
     docs = docs.join(counts, "id").where(f"100 * shared >= {PERCENT} * n")
@@ -180,7 +180,7 @@ def open_pairs(rest: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[DataFr
     for rows, on, enough, more in ((prefix, "s", "shared", "true"), (placed, "key", "frequent", once)):
         pairs = rows.alias("x").join(rows.alias("y"), F.expr(f"x.{on} = y.{on} and {apart % (enough, enough)} and {more}"))
         found.append(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
-    return found[0].unionByName(found[1]).distinct(), [token, docs]
+    return found[0].unionByName(found[1]).distinct(), [token, df, docs]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,11 +188,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = id_text(docs, id_col, text_col).select(F.col("_id").cast("long").alias("_id"), "_text")
     signed = texts.mapInArrow(per_text(_sign, [pa.int64(), pa.binary(), pa.list_(pa.int64())]), "id long, n long, digest binary, bands array<long>")
     signed = written(signed, "signed")
-    classes = signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
+    # what is joined back to the rows it sums up is written first: then both sides are dealt for the join, and a hot key can be split
+    classes = written(signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     member = written(signed.select("id", "n", "digest").join(classes, "digest", "left").select("id", "n", "rep"), "member")
     heads = signed.where("n > 0").join(member.where("id = rep").select("id").distinct(), "id", "left_semi")
     keyed = written(heads.select("id", "n", F.explode("bands").alias("key")), "keyed")
     hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
+    hubs = written(hubs, "hubs")
     buckets = written(keyed.join(hubs, "key"), "buckets")  # id, n, key, hub of the buckets with two ids or more
     candidates = written(buckets.select("id").distinct(), "candidates")
     sets = only(texts, "_id", candidates).mapInArrow(per_text(_sets, [pa.binary()]), "id long, set binary").where(F.length("set") > 0)
@@ -205,6 +207,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     placed = buckets.join(group, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    mixed = written(mixed, "mixed")
     rest = written(placed.join(mixed, "key", "left_semi"), "rest")
     pairs, used = open_pairs(rest, sets)
     more = written(verify(pairs, sets).where(f"100 * common >= {PERCENT} * both").select("a", "b"), "more")
@@ -213,7 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = repeated.select(F.explode(F.array("lo", "hi")).alias("a"), F.col("id").alias("b"))
     links = written(stars.unionByName(more).unionByName(repeated), "links")
     final = components(links)
-    discard(signed, keyed, buckets, candidates, sets, tested, group, rest, *used, more, links)
+    discard(signed, classes, keyed, hubs, mixed, buckets, candidates, sets, tested, group, rest, *used, more, links)
     out = member.join(final.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
