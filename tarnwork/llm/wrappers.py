@@ -12,7 +12,8 @@ the page lacks it, in the page's own best group), block by block, without such z
 template. Character references are decoded, white space in a block becomes one space, blocks are joined by a line feed.
 
 Null or empty html gives empty text. A null or unreadable url counts as one host of its own. Repeated rows give repeated
-results. Pages are read whole; unclosed or broken markup is read as far as it goes.
+results. Pages are read whole and groups nest as deep as they like (no step uses Python's own stack); unclosed or broken markup
+is read as far as it goes.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import functools
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -40,6 +41,7 @@ TOKEN = re.compile(
     re.DOTALL | re.IGNORECASE,
 )
 ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
+JSON_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]]|[^\s,\[\]"]+')
 #: Fixed lists: elements that have no end, that stand inside a line of text, and that end an open one of their kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
@@ -58,8 +60,6 @@ MAIN_WORDS = frozenset("article content post entry story main body text".split()
 SHORT, SHARED = 12, 20
 #: A host's partial wrappers meet in so many parts first.
 PARTS = 32
-#: Groups nest so deep; deeper ones still part blocks, and their text goes to the group above.
-DEPTH = 150
 #: Hosts whose partial wrappers a reading task holds at a time; bytes of all wrappers up to which they are broadcast.
 HELD, BROADCAST_BYTES = 2000, 8_000_000
 
@@ -87,6 +87,16 @@ def groups(page: str) -> list:
     """The page as nested groups [name, zone, head, children]; a child that is a string is text, a br is white space."""
     root: list = ["", False, False, []]
     stack, tags = [root], [""]
+    places: dict[str, list[int]] = {}  # of the open groups of each tag
+    holds: list[int] = []  # places of the open containers
+
+    def close(at: int) -> None:
+        for tag in tags[at:]:
+            places[tag].pop()
+            if tag in CONTAINERS:
+                holds.pop()
+        del stack[at:], tags[at:]
+
     for m in TOKEN.finditer(page):
         if (text := m["text"]) is not None:
             stack[-1][3].append(text)
@@ -97,20 +107,19 @@ def groups(page: str) -> list:
             elif tag in INLINE or tag in VOID and tag != "hr":
                 continue
             elif m["end"]:
-                if tag in tags:
-                    at = len(tags) - 1 - tags[::-1].index(tag)
-                    del stack[at:], tags[at:]
+                if at := places.get(tag):
+                    close(at[-1])
             else:
                 if ends := CLOSES.get(tag):
-                    at = len(tags) - 1
-                    while at > 0 and tags[at] not in CONTAINERS - ends:
-                        if tags[at] in ends:
-                            del stack[at:], tags[at:]
-                            break
-                        at -= 1
+                    at = max(holds[-1] if holds else 0, *(places[x][-1] for x in ends if places.get(x)), 0)
+                    if tags[at] in ends:
+                        close(at)
                 new = [*group_of(tag, m["attrs"].strip()), []]
                 stack[-1][3].append(new)
-                if tag not in VOID and len(stack) < DEPTH:
+                if tag not in VOID:
+                    places.setdefault(tag, []).append(len(tags))
+                    if tag in CONTAINERS:
+                        holds.append(len(tags))
                     stack.append(new)
                     tags.append(tag)
     return root
@@ -123,8 +132,25 @@ def clean(text: str) -> str:
 # A wrapper: [name, optional, repeated, children, pages]; a text slot: ["#", optional, repeated, value, words], value None when free.
 
 
+def settled(steps: Generator) -> list:
+    """The value of a recursion written as generators that yield their calls, on a stack of its own."""
+    stack, value = [steps], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as e:
+            stack.pop()
+            value = e.value
+    return value
+
+
 def stream(group: list) -> list:
     """A wrapper of one page's group."""
+    return settled(_stream(group))
+
+
+def _stream(group: list) -> Generator:
     kids: list = []
     parts: list[str] = []
     for child in [*group[3], None]:
@@ -135,16 +161,16 @@ def stream(group: list) -> list:
             kids.append(["#", False, False, xxhash.xxh64_hexdigest(text), text.count(" ") + 1])
         parts = []
         if child is not None:
-            kids.append(stream(child))
-    return [group[0], False, False, folded(kids), 1]
+            kids.append((yield _stream(child)))
+    return [group[0], False, False, (yield _folded(kids)), 1]
 
 
-def folded(kids: list) -> list:
+def _folded(kids: list) -> Generator:
     """Neighbours of one name become one repeated group."""
     out: list = []
     for k in kids:
         if out and out[-1][0] == k[0]:
-            out[-1] = aligned(out[-1], k, together=True)
+            out[-1] = yield _aligned(out[-1], k, True)
             out[-1][2] = True
         else:
             out.append(k)
@@ -153,6 +179,10 @@ def folded(kids: list) -> list:
 
 def aligned(a: list, b: list, together: bool = False) -> list:
     """One wrapper for both; together: they stand in the same page."""
+    return settled(_aligned(a, b, together))
+
+
+def _aligned(a: list, b: list, together: bool) -> Generator:
     optional, repeated = a[1] or b[1], a[2] or b[2]
     if a[0] == "#":
         same = a[3] == b[3]
@@ -163,9 +193,9 @@ def aligned(a: list, b: list, together: bool = False) -> list:
         for k in [*x[i:p], *y[j:q]]:
             kids.append([k[0], True, *k[2:]])
         if p < len(x):
-            kids.append(aligned(x[p], y[q], together))
+            kids.append((yield _aligned(x[p], y[q], together)))
         i, j = p + 1, q + 1
-    return [a[0], optional, repeated, folded(kids), pages]
+    return [a[0], optional, repeated, (yield _folded(kids)), pages]
 
 
 def matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -200,42 +230,100 @@ def matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+def dumped(wrapper: list) -> str:
+    """The wrapper as JSON, of any depth."""
+    try:
+        return json.dumps(wrapper)
+    except RecursionError:
+        parts, todo = [], [wrapper]
+        while todo:
+            w = todo.pop()
+            if isinstance(w, str):
+                parts.append(w)
+            elif w[0] == "#":
+                parts.append(json.dumps(w))
+            else:
+                parts.append(json.dumps(w[:3])[:-1] + ", [")
+                todo.append(f"], {w[4]}]")
+                for at, k in enumerate(reversed(w[3])):
+                    todo += [", ", k] if at else [k]
+        return "".join(parts)
+
+
+def loaded(text: str) -> list:
+    try:
+        return json.loads(text)
+    except RecursionError:
+        stack: list[list] = [[]]
+        for m in JSON_TOKEN.finditer(text):
+            if m[0] == "[":
+                stack[-1].append([])
+                stack.append(stack[-1][-1])
+            elif m[0] == "]":
+                stack.pop()
+            else:
+                stack[-1].append(json.loads(m[0]))
+        return stack[0][0]
+
+
 def expression(wrapper: list) -> str:
     """The wrapper as a union-free regular expression, for people."""
-    if wrapper[0] == "#":
-        text = "#PCDATA" if wrapper[3] is None else "'...'"
-        return f"({text}){'+' if wrapper[2] else ''}{'?' if wrapper[1] else ''}" if wrapper[1] or wrapper[2] else text
-    inner = f"<{wrapper[0]}>" + "".join(map(expression, wrapper[3])) + f"</{wrapper[0].split('.')[0]}>"
-    return f"({inner}){'+' if wrapper[2] else ''}{'?' if wrapper[1] else ''}" if wrapper[1] or wrapper[2] else inner
+    return settled(_expression(wrapper))
 
 
-def free_words(w: list) -> int:
-    """Words of text under a wrapper's group, outside zones; constants count little."""
+def _expression(w: list) -> Generator:
     if w[0] == "#":
-        return w[4] * (3 if w[2] else 1) if w[3] is None else min(w[4], SHORT)
-    tag, *own = w[0].split(".")
-    return 0 if tag in ZONE_TAGS or tag == "header" or set(own) & (ZONE_WORDS | HEAD_WORDS) and tag not in ("article", "main", "body", "html") else sum(map(free_words, w[3]))
+        inner = "#PCDATA" if w[3] is None else "'...'"
+        return f"({inner}){'+' if w[2] else ''}{'?' if w[1] else ''}" if w[1] or w[2] else inner
+    parts = [f"<{w[0]}>"]
+    for k in w[3]:
+        parts.append((yield _expression(k)))
+    inner = "".join(parts) + f"</{w[0].split('.')[0]}>"
+    return f"({inner}){'+' if w[2] else ''}{'?' if w[1] else ''}" if w[1] or w[2] else inner
+
+
+def free_words(wrapper: list) -> dict[int, int]:
+    """Words of text under each group (by its id()), outside zones; constants count little."""
+    order, words = [wrapper], {}
+    for w in order:  # grows: from the top down
+        if w[0] != "#":
+            order += w[3]
+    for w in reversed(order):
+        if w[0] == "#":
+            words[id(w)] = w[4] * (3 if w[2] else 1) if w[3] is None else min(w[4], SHORT)
+        else:
+            tag, *own = w[0].split(".")
+            zone = tag in ZONE_TAGS or tag == "header" or set(own) & (ZONE_WORDS | HEAD_WORDS) and tag not in ("article", "main", "body", "html")
+            words[id(w)] = 0 if zone else sum(words[id(k)] for k in w[3])
+    return words
 
 
 def main_path(wrapper: list) -> tuple[str, ...]:
     """The names from the top to the group of the main text."""
-    found: list[tuple[int, int, int, tuple[str, ...]]] = []
-
-    def walk(w: list, path: tuple[str, ...], whole: int) -> None:
+    words_of_group = free_words(wrapper)
+    whole = words_of_group[id(wrapper)]
+    nodes: list[tuple[list, int, int]] = [(wrapper, -1, 0)]  # group, place of the group above, depth
+    found: list[tuple[int, int, int, int]] = []
+    for at, (w, _, depth) in enumerate(nodes):  # grows: from the top down
         tag, *own = w[0].split(".")
-        words = free_words(w)
-        if path and not words:
-            return
+        words = words_of_group[id(w)]
+        if depth and not words:
+            continue
         rank = 3 if tag == "article" or "articlebody" in own else 2 if tag == "main" else 1 if tag in ("div", "section", "td") and set(own) & MAIN_WORDS else 0
-        if path and (rank or words == whole):
-            found.append((rank, words if rank else 0, len(path) if not rank else -len(path), path))
-        for k in w[3]:
-            if k[0] != "#":
-                walk(k, (*path, k[0]), whole)
+        if depth and (rank or words == whole):
+            found.append((rank, words if rank else 0, depth if not rank else -depth, at))
+        nodes += [(k, at, depth + 1) for k in w[3] if k[0] != "#"]
+
+    def path(at: int) -> tuple[str, ...]:
+        names = []
+        while at > 0:
+            names.append(nodes[at][0][0])
+            at = nodes[at][1]
+        return tuple(reversed(names))
 
-    walk(wrapper, (), free_words(wrapper))
-    good = [f for f in found if not f[0] or f[1] * 5 >= free_words(wrapper)] or found
-    return max(good)[3] if good else ()
+    good = [f for f in found if not f[0] or f[1] * 5 >= whole] or found
+    best = max((f[:3] for f in good), default=None)
+    return max((path(f[3]) for f in good if f[:3] == best), default=())
 
 
 def constants(wrapper: list, path: tuple[str, ...]) -> set[str]:
@@ -245,26 +333,23 @@ def constants(wrapper: list, path: tuple[str, ...]) -> set[str]:
         node = next((k for k in node[3] if k[0] == name), None) if node else None
     if not node or wrapper[4] < SHARED:
         return set()
-    fixed, free = set(), [0]
-
-    def walk(w: list) -> None:
+    fixed, free, todo = set(), False, [node]
+    while todo:
+        w = todo.pop()
         if w[0] != "#":
-            for k in [] if w[1] else w[3]:  # what only some pages have is theirs
-                walk(k)
+            todo += [] if w[1] else w[3]  # what only some pages have is theirs
         elif w[3] is None:
-            free[0] += 1
+            free = True
         elif not w[1] and w[4] <= SHORT:
             fixed.add(w[3])
-
-    walk(node)
-    return fixed if free[0] else set()
+    return fixed if free else set()
 
 
 @functools.lru_cache(maxsize=256)
 def rule(wrapper: str | None) -> tuple[tuple[str, ...], frozenset[str]]:
     if not wrapper:
         return (), frozenset()
-    w = json.loads(wrapper)
+    w = loaded(wrapper)
     path = main_path(w)
     return path, frozenset(constants(w, path))
 
@@ -313,8 +398,8 @@ def host(url: Column) -> Column:
 def _meet(wrappers: list[str]) -> str:
     made = None
     for w in sorted(wrappers):
-        made = json.loads(w) if made is None else aligned(made, json.loads(w))
-    return json.dumps(made)
+        made = loaded(w) if made is None else aligned(made, loaded(w))
+    return dumped(made)
 
 
 def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -324,7 +409,7 @@ def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
         held: dict[str, list] = {}
 
         def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_pydict({"host": pa.array(list(held), pa.string()), "wrapper": pa.array([json.dumps(w) for w in held.values()], pa.string())})
+            made = pa.RecordBatch.from_pydict({"host": pa.array(list(held), pa.string()), "wrapper": pa.array([dumped(w) for w in held.values()], pa.string())})
             held.clear()
             return made
 

@@ -227,6 +227,18 @@ def test_broken_pages(page, want):
     assert wrappers.extract(page, None) == want
 
 
+@pytest.mark.parametrize("levels", [10, 200, 20_000])
+def test_deep_pages(spark, levels):
+    deep = "<div>" * levels + "inside" + "</div>" * levels
+    zone = "<div>" * levels + "<nav>menu" + "<p>part</p>" * 3 + "</nav>" + "</div>" * levels
+    page = f"<html><body><div><article><p>first</p>{deep}{zone}<p>last {{}}</p></article><p>outside</p></div></body></html>"
+    df = spark.createDataFrame([(i, "http://deep.example/x", page.format(i)) for i in range(3)], "page_id int, url string, html string")
+    assert [r.text for r in wrappers.main_text(df).orderBy("page_id").collect()] == [f"first\ninside\nlast {i}" for i in range(3)]
+    own = wrappers.stream(wrappers.groups(page))
+    assert wrappers.main_path(wrappers.loaded(wrappers.dumped(own))) == ("html", "body", "div", "article")
+    assert wrappers.expression(own).count("<div>") == wrappers.dumped(own).count('"div"')
+
+
 def test_pages_table(spark, sf):
     import html
 
