@@ -21,6 +21,7 @@ from __future__ import annotations
 import functools
 import html
 import json
+import math
 import re
 from collections.abc import Generator, Iterator
 
@@ -199,31 +200,50 @@ def _aligned(a: list, b: list, together: bool) -> Generator:
 
 
 def matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Positions of a longest common subsequence."""
+    """Positions of a longest common subsequence: of all such, the one that matches as early as it can and else leaves out names of a first.
+
+    Row i has a bit for each place of b, the last place lowest: 0 where the longest of a[i:] and b[j:] is one longer than that of
+    a[i:] and b[j + 1:]. A few rows are kept; those between are made again when the walk gets there.
+    """
     if a == b:
         return [(i, i) for i in range(len(a))]
-    if len(a) * len(b) > 250_000:  # very wide groups: in order, each to the next of its name
-        out, j, places = [], 0, {}
-        for k, name in enumerate(b):
-            places.setdefault(name, []).append(k)
-        for i, name in enumerate(a):
-            at = places.get(name)
-            while at and at[0] < j:
-                at.pop(0)
-            if at:
-                out.append((i, at[0]))
-                j = at.pop(0) + 1
-        return out
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    n, m = len(a), len(b)
+    full, where, step, block = (1 << m) - 1, {}, math.isqrt(n) + 1, {}
+    for j, name in enumerate(b):
+        where.setdefault(name, bytearray(m // 8 + 1))[(m - 1 - j) >> 3] |= 1 << ((m - 1 - j) & 7)
+    where = {name: int.from_bytes(x, "little") for name, x in where.items()}
+
+    def above(i: int, row: int) -> int:
+        hit = row & where.get(a[i], 0)
+        return (row + hit | row - hit) & full
+
+    kept, row = {n: full}, full
+    for i in range(n - 1, -1, -1):
+        row = above(i, row)
+        if i % step == 0:
+            kept[i] = row
+
+    def longest(i: int, j: int) -> int:
+        """Of a[i:] and b[j:]."""
+        row = kept.get(i)
+        if row is None:
+            row = block.get(i)
+        if row is None:
+            start = i - i % step
+            end = min(n, start + step)
+            row = kept[end]
+            block.clear()
+            for k in range(end - 1, start, -1):
+                row = block[k] = above(k, row)
+            row = block[i]
+        return m - j - (row & full >> j).bit_count()
+
     out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
+    while i < n and j < m:
         if a[i] == b[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+        elif longest(i + 1, j) >= longest(i, j + 1):
             i += 1
         else:
             j += 1

@@ -239,6 +239,36 @@ def test_deep_pages(spark, levels):
     assert wrappers.expression(own).count("<div>") == wrappers.dumped(own).count('"div"')
 
 
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = list(itertools.accumulate(range(1, len(b) + 1), lambda left, j, above=row, x=x: above[j - 1] + 1 if x == b[j - 1] else max(left, above[j]), initial=0))
+    return row[-1]
+
+
+def test_wide_groups_align_exactly():
+    r = random.Random(5)
+    a, b = ["h"] + ["p", "q"] * 400, ["p", "q"] * 400 + ["h"]
+    assert len(wrappers.matches(a, b)) == 800
+    for n in [*range(0, 30), 700]:
+        a, b = ([r.choice("abcde") for _ in range(n + r.randrange(9))] for _ in range(2))
+        got = wrappers.matches(a, b)
+        assert len(got) == longest_common(a, b) and all(a[i] == b[j] for i, j in got)
+        assert all(i < k and j < m for (i, j), (k, m) in itertools.pairwise(got))
+
+
+def test_wide_pages_leave_the_template_alone():
+    import json
+
+    page = "<html><body><article><h1>title {n}</h1>{head}{rows}<h5>Share this</h5>{foot}</article></body></html>"
+    pages = []
+    for n in range(24):
+        rows = "".join(f"<dt>name {n}</dt><dd>value {n} {k}</dd>" for k in range(300))
+        pages.append(page.format(n=n, rows=rows, head="<h4>note</h4>" * (n % 2), foot="<h4>note</h4>" * (1 - n % 2)))
+    wrapper = wrappers._meet([json.dumps(wrappers.stream(wrappers.groups(p))) for p in pages])
+    assert all(wrappers.extract(p, wrapper).startswith(f"title {n}\n") and "Share this" not in wrappers.extract(p, wrapper) for n, p in enumerate(pages))
+
+
 def test_pages_table(spark, sf):
     import html
 
