@@ -606,7 +606,7 @@ def svr_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rf_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.forest_baseline(labelled_vectors(spark, sf_dir), trees=20, depth=10)
+    return models.forest_baseline(labelled_vectors(spark, sf_dir), ["site_id"], trees=20, depth=10)
 
 
 @query()

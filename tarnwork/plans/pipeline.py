@@ -125,11 +125,13 @@ def evaluate(features: DataFrame, keys: list[str], seeds: list[int] | None = Non
     return {"metrics": metrics.join(seeds_summary, keys), "predictions": predictions, "seed_logs": weights}
 
 
-def baselines(features: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
-    """metrics and predictions of the linear baseline for each key (the forest is models.forest_baseline, one fit for a table)."""
-    predictions = models.svr_baseline(features, keys).withColumn("model", F.lit("svm"))
+def baselines(features: DataFrame, keys: list[str], trees: int = 500) -> dict[str, DataFrame]:
+    """metrics and predictions of the linear baseline (svm) and the random forest (random_forest), each fitted for each key."""
     counts = features.groupBy(*keys).agg(F.count_if(F.lower(F.trim("split")).isin("train", "val")).alias("n_train"), F.count_if(F.lower(F.trim("split")) == "test").alias("n_test"))
-    return {"metrics": predictions.groupBy(*keys, "model").agg(*regression_metrics(F.col("discharge_true"), F.col("pred"))).join(counts, keys), "predictions": predictions}
+    made = {"svm": models.svr_baseline(features, keys), "random_forest": models.forest_baseline(features, keys, trees=trees)}
+    predictions = [p.withColumn("model", F.lit(m)) for m, p in made.items()]
+    metrics = [p.groupBy(*keys, "model").agg(*regression_metrics(F.col("discharge_true"), F.col("pred"))).join(counts, keys) for p in predictions]
+    return {"metrics": metrics[0].unionByName(metrics[1]), "predictions": predictions[0].unionByName(predictions[1])}
 
 
 def compare_models(metrics: DataFrame) -> dict[str, DataFrame]:

@@ -71,6 +71,42 @@ def test_models_learn(spark):
     assert m.expert_oracle_MAE <= m.soft_MAE + 1e-9
 
 
+def test_both_baselines_for_each_key(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for site, variant, sign in (("a", "p05", 1), ("a", "p50", -1), ("b", "p05", 3)):
+        x = rng.normal(size=(160, 5))
+        rows += [(f"i{i:03d}", site, variant, ("train", "val", "test", " Train")[i % 4], float(10 + sign * v[0]), v.tolist()) for i, v in enumerate(x)]
+    rows += [("i999", "c", "p05", "train", 1.0, [0.0] * 5)]  # no test rows, no model
+    df = spark.createDataFrame(rows, "image_path string, site_id string, variant string, split string, discharge double, embedding array<float>")
+    out = pipeline.baselines(df, ["site_id", "variant"])
+    got = {(r.site_id, r.variant, r.model): r for r in out["metrics"].collect()}
+    assert set(got) == {(*k, m) for k in (("a", "p05"), ("a", "p50"), ("b", "p05")) for m in ("svm", "random_forest")}
+    assert all((r.n_train, r.n_test) == (120, 40) and r.R2 > 0.7 for r in got.values())
+    assert out["predictions"].where("model = 'random_forest'").count() == 120
+    assert {r.model for r in pipeline.compare_models(out["metrics"])["by_model"].collect()} == {"svm", "random_forest"}
+
+
+def test_tree_splits_like_brute_force():
+    rng = np.random.default_rng(0)
+    for n in (4, 9, 40):
+        x, w = rng.integers(0, 6, (n, 3)).astype(np.float32), rng.integers(1, 4, n).astype(float)
+        y = rng.normal(size=n)
+        off = y - np.average(y, weights=w)
+        best = -np.inf
+        for f in range(3):
+            for cut in np.unique(x[:, f])[:-1]:
+                low = x[:, f] <= cut
+                if min(low.sum(), (~low).sum()) >= 2:
+                    best = max(best, sum((off[s] * w[s]).sum() ** 2 / w[s].sum() for s in (low, ~low)))
+        found = models.Tree._split(x, off * w, w, np.arange(3), 3, 2)
+        if found is None:
+            assert best == -np.inf
+            continue
+        low = x[:, found[0]] <= found[1]
+        assert min(low.sum(), (~low).sum()) >= 2 and sum((off[s] * w[s]).sum() ** 2 / w[s].sum() for s in (low, ~low)) == pytest.approx(best)
+
+
 def test_best_models(spark):
     df = spark.createDataFrame([("s", "p05", "rf", 0.5), ("s", "p50", "rf", 0.7), ("s", "p50", "svm", 0.6)], "site_id string, variant string, model string, R2 double")
     out = pipeline.compare_models(df)
