@@ -590,13 +590,12 @@ def labelled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     truth = F.lit(100.0) + F.col("label") * 40 + F.aggregate(F.slice("embedding", 1, 8), F.lit(0.0), lambda a, x: a + x.cast("double")) * 50
     split = F.when(F.col("vec_id") % 5 == 0, "test").when(F.col("vec_id") % 5 == 1, "val").otherwise("train")
-    return e.select(F.col("vec_id").cast("string").alias("image_path"), F.lit("s1").alias("site_id"), truth.alias("discharge"), split.alias("split"), F.slice("embedding", 1, 16).alias("embedding"))
+    return e.select(F.col("vec_id").cast("string").alias("image_path"), F.lit("s1").alias("site_id"), truth.alias("discharge"), split.alias("split"), "embedding")
 
 
 @query()
 def moe_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small = {"epochs": 8, "trunk_dim": 32, "head_dim": 16, "adapter_hidden": 16, "lr": 2e-3}
-    return models.evaluate_mixture(labelled_vectors(spark, sf_dir), ["site_id"], [12, 22], **small)
+    return models.evaluate_mixture(labelled_vectors(spark, sf_dir), ["site_id"])
 
 
 @query()
@@ -606,7 +605,7 @@ def svr_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rf_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.forest_baseline(labelled_vectors(spark, sf_dir), ["site_id"], trees=20, depth=10)
+    return models.forest_baseline(labelled_vectors(spark, sf_dir), ["site_id"])
 
 
 @query()

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwork.operators import models, quality
-from tarnwork.plans import pipeline
+from tarnwork.plans import catalog, pipeline
 from tarnwork.streaming import ingest
 
 
@@ -107,6 +107,17 @@ def test_tree_splits_like_brute_force():
         assert min(low.sum(), (~low).sum()) >= 2 and sum((off[s] * w[s]).sum() ** 2 / w[s].sum() for s in (low, ~low)) == pytest.approx(best)
 
 
+def test_model_queries_run_the_whole_job(spark, sf, monkeypatch):
+    vectors = catalog.labelled_vectors(spark, sf)
+    assert vectors.selectExpr("min(size(embedding))").first()[0] == catalog.table(spark, sf, "embeddings").selectExpr("max(size(embedding))").first()[0]
+    made = catalog.moe_train(spark, sf).groupBy("seed").count().collect()
+    assert sorted(r.seed for r in made) == models.BEST["seeds"] and {r["count"] for r in made} == {vectors.where("split = 'test'").count()}
+    seen = {}
+    monkeypatch.setattr(models, "forest_baseline", lambda df, keys, **changes: seen.update(forest=(keys, changes)))
+    catalog.rf_baseline(spark, sf)
+    assert seen["forest"] == (["site_id"], {})
+
+
 def test_best_models(spark):
     df = spark.createDataFrame([("s", "p05", "rf", 0.5), ("s", "p50", "rf", 0.7), ("s", "p50", "svm", 0.6)], "site_id string, variant string, model string, R2 double")
     out = pipeline.compare_models(df)
