@@ -126,11 +126,14 @@ def evaluate(features: DataFrame, keys: list[str], seeds: list[int] | None = Non
 
 
 def baselines(features: DataFrame, keys: list[str], trees: int = 500) -> dict[str, DataFrame]:
-    """metrics and predictions of the linear baseline (svm) and the random forest (random_forest), each fitted for each key."""
+    """metrics and predictions of the linear baseline (svm) and the random forest (random_forest), each fitted for each key.
+
+    converged tells of the svm whether it did; it is null for the forest.
+    """
     counts = features.groupBy(*keys).agg(F.count_if(F.lower(F.trim("split")).isin("train", "val")).alias("n_train"), F.count_if(F.lower(F.trim("split")) == "test").alias("n_test"))
-    made = {"svm": models.svr_baseline(features, keys), "random_forest": models.forest_baseline(features, keys, trees=trees)}
+    made = {"svm": models.svr_baseline(features, keys), "random_forest": models.forest_baseline(features, keys, trees=trees).withColumn("converged", F.lit(None).cast("boolean"))}
     predictions = [p.withColumn("model", F.lit(m)) for m, p in made.items()]
-    metrics = [p.groupBy(*keys, "model").agg(*regression_metrics(F.col("discharge_true"), F.col("pred"))).join(counts, keys) for p in predictions]
+    metrics = [p.groupBy(*keys, "model").agg(*regression_metrics(F.col("discharge_true"), F.col("pred")), F.bool_and("converged").alias("converged")).join(counts, keys) for p in predictions]
     return {"metrics": metrics[0].unionByName(metrics[1]), "predictions": predictions[0].unionByName(predictions[1])}
 
 

@@ -107,6 +107,17 @@ def test_tree_splits_like_brute_force():
         assert min(low.sum(), (~low).sum()) >= 2 and sum((off[s] * w[s]).sum() ** 2 / w[s].sum() for s in (low, ~low)) == pytest.approx(best)
 
 
+def test_svr_goes_on_until_it_converges(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=40)[:, None] + 0.1 * rng.normal(size=(40, 35))  # correlated columns take some thousand passes
+    y = 5 + 3 * x @ rng.normal(size=35) + 0.3 * rng.normal(size=40)
+    rows = [(f"i{i:02d}", s, ("train", "test")[i % 4 == 3], float(y[i]), x[i].tolist()) for i in range(40) for s in "ab"]
+    df = spark.createDataFrame(rows, "image_path string, site_id string, split string, discharge double, embedding array<double>")
+    assert [r.converged for r in models.svr_baseline(df, ["site_id"], steps=2000).collect()] == [False] * 20
+    assert [r.converged for r in models.svr_baseline(df, ["site_id"]).collect()] == [True] * 20
+    assert {(r.model, r.converged) for r in pipeline.baselines(df, ["site_id"], trees=5)["metrics"].collect()} == {("svm", True), ("random_forest", None)}
+
+
 def test_model_queries_run_the_whole_job(spark, sf, monkeypatch):
     vectors = catalog.labelled_vectors(spark, sf)
     assert vectors.selectExpr("min(size(embedding))").first()[0] == catalog.table(spark, sf, "embeddings").selectExpr("max(size(embedding))").first()[0]
