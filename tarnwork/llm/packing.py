@@ -18,6 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwork.llm.common import written
+from tarnwork.llm.minhash import BROADCAST_IDS, near_duplicates
+
 CAPACITY, BLOCK = 2048, 20_000
 
 
@@ -120,3 +123,14 @@ def best_fit(docs: DataFrame, size: Column, cluster: Column, capacity: int = CAP
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """best_fit() of documents by their words; equal texts are a duplicate cluster."""
     return best_fit(docs, word_count(F.col("text")), F.xxhash64("text"), capacity)
+
+
+def pack_apart(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """pack_documents(), but a duplicate cluster is a component of near copies, equal texts included. A row without an id goes by its text."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    found = near_duplicates(docs.select(key.alias("key"), "text"), "key").groupBy("key").agg(F.min("component_id").alias("component"))
+    copies = written(found.where("key != component"), "copies")
+    if copies.count() <= BROADCAST_IDS:
+        copies = F.broadcast(copies)
+    rows = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
+    return best_fit(rows.join(copies, "key", "left"), F.col("size"), F.coalesce("component", "key"), capacity)

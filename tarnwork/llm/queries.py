@@ -25,7 +25,7 @@ def pattern() -> str:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packing.pack_apart(table(spark, sf_dir, "documents"))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,6 +207,25 @@ def test_packing_keeps_every_word(spark, sf, monkeypatch):
     assert packing.pack_documents(df.where("false")).count() == 0
 
 
+def test_near_copies_never_share_a_bin(spark, tmp_path):
+    r = random.Random(8)
+    base = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(6)]
+    rows = []
+    for k, text in enumerate(base):  # copies in other letters, with other white space, with a word more, and equal
+        own = [text, text.upper(), text.replace(" ", "  "), text + " more", text]
+        rows += [(10 * k + j, t, "en", f"source {j}", len(t)) for j, t in enumerate(own)]
+        rows += [(None, text, "en", f"none {k}", len(text)), (None, text, "en", f"other {k}", len(text))]
+    r.shuffle(rows)
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op1_best_fit_packing(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and sum(x.n_tokens for x in got) == sum(len(x[1].split()) for x in rows)
+    held = Counter((x.bin_id, x.doc_id // 10) for x in got if x.doc_id is not None)
+    assert max(held.values()) == 1
+    one = [(j, t, "en", f"s{j}", 1) for j, t in enumerate(own)] + [(None, text, "en", "s8", 1), (None, text, "en", "s9", 1)]
+    assert packing.pack_apart(spark.createDataFrame(one, DOCS)).select("bin_id").distinct().count() == 7  # rows without an id too
+    assert packing.pack_apart(spark.createDataFrame([], DOCS)).count() == 0
+
+
 # --- lines and the pipeline ----------------------------------------------------------------------------------------------
 
 
