@@ -8,14 +8,13 @@ that do not fit) gives read_ok = false and null metrics. Colour spaces, borders
 from __future__ import annotations
 
 from collections.abc import Iterator
-from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.operators.quality import METRICS, limits
+from tarnwork.operators.quality import METRICS, Limits, limits
 
 SCHEMA = "image_path string, read_ok boolean, width int, height int, " + ", ".join(f"{m} {'int' if m == 'raindrop_blob_count' else 'double'}" for m in METRICS)
 #: 3x3 and 5x5 ellipses as rows of (first, last) column offsets.
@@ -163,7 +162,7 @@ def polygon_length(path: list[tuple[int, int]]) -> float:
     return float(np.hypot(*(np.roll(a, -1, axis=0) - a).T).sum())
 
 
-def raindrops(s: np.ndarray, v: np.ndarray, c: SimpleNamespace, least: float = 30, most: float = 4000, roundness: float = 0.35) -> tuple[float, int, float, float]:
+def raindrops(s: np.ndarray, v: np.ndarray, c: Limits, least: float = 30, most: float = 4000, roundness: float = 0.35) -> tuple[float, int, float, float]:
     """(bright ratio after opening, blobs, their area ratio, their mean circularity); s and v in [0, 1]. Blobs inside another's hole do not count."""
     mask = opened((v > c.raindrop_v_thresh) & (s < c.raindrop_s_thresh))
     label, n = components(mask)
@@ -194,7 +193,12 @@ def raindrops(s: np.ndarray, v: np.ndarray, c: SimpleNamespace, least: float = 3
     return float(mask.mean()), len(areas), float(sum(areas) / mask.size), float(np.mean(rounds)) if rounds else 0.0
 
 
-def metrics(bgr: np.ndarray, c: SimpleNamespace) -> dict:
+#: Value and saturation of a saturated pixel; how far red may exceed blue and green in cool and in blue pixels.
+SATURATED_V, SATURATED_S = 0.985, 0.30
+COOL_BLUE_MARGIN, COOL_GREEN_MARGIN, BLUE_GREEN_MARGIN = 0.03, 0.10, 0.05
+
+
+def metrics(bgr: np.ndarray, c: Limits) -> dict:
     g, (_, s, v) = gray(bgr), hsv(bgr)
     s, v = s.astype(np.float32) / np.float32(255), v.astype(np.float32) / np.float32(255)
     blue, green, red = (bgr[..., k].astype(np.float32) / np.float32(255) for k in range(3))
@@ -203,18 +207,18 @@ def metrics(bgr: np.ndarray, c: SimpleNamespace) -> dict:
     def share(mask: np.ndarray) -> float:
         return float(mask.mean())
 
-    cool = (v > c.snow_cool_v_thresh) & (s < c.snow_cool_s_thresh) & (blue >= red - 0.03) & (green >= red - 0.10)
-    blueish = (v > c.snow_blue_v_thresh) & (s > c.snow_blue_s_floor) & (blue >= red + c.snow_blue_margin) & (green >= red - 0.05)
+    cool = (v > c.snow_cool_v_thresh) & (s < c.snow_cool_s_thresh) & (blue >= red - COOL_BLUE_MARGIN) & (green >= red - COOL_GREEN_MARGIN)
+    blueish = (v > c.snow_blue_v_thresh) & (s > c.snow_blue_s_floor) & (blue >= red + c.snow_blue_margin) & (green >= red - BLUE_GREEN_MARGIN)
     values = (
         float(g.mean()), float(g.std()), entropy(g), laplacian_variance(g), grayscale_score(bgr), colorfulness(bgr), peak(v), bright,
-        share((v > c.glare_v_thresh) & (s < c.glare_s_thresh)), share((v > 0.985) & (s < 0.30)), share((v > c.snow_v_thresh) & (s < c.snow_s_thresh)),
+        share((v > c.glare_v_thresh) & (s < c.glare_s_thresh)), share((v > SATURATED_V) & (s < SATURATED_S)), share((v > c.snow_v_thresh) & (s < c.snow_s_thresh)),
         share((v > c.snow_bright_loose_v_thresh) & (s < c.snow_bright_loose_s_thresh)), share(cool), share(blueish), share((v > c.ice_v_thresh) & (s < c.ice_s_thresh)),
         n, area, rounds,
     )
     return dict(zip(METRICS, values, strict=True))
 
 
-def image_metrics(images: DataFrame, c: SimpleNamespace | None = None) -> DataFrame:
+def image_metrics(images: DataFrame, c: Limits | None = None) -> DataFrame:
     """One row of metrics for each row of the image source (column `image`)."""
     c = c or limits()
 

@@ -5,8 +5,6 @@ Every stage is one DataFrame over all sites, keyed by site; nothing loops over s
 
 from __future__ import annotations
 
-from types import SimpleNamespace
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ from tarnwork.operators import models, quality, relational, splits, timeseries
 from tarnwork.operators.guards import one_to_one, require_columns, require_rows, single_value, without_quality
 from tarnwork.operators.pixels import image_metrics
 from tarnwork.operators.vision import embed, embedder
-from tarnwork.sources.readers import direct_labels, hydro_table, labels
+from tarnwork.sources.readers import direct_labels, hydro_table
 
 CODES = {"00060": "discharge", "60": "discharge"}
 
@@ -51,7 +49,7 @@ def zone_table(df: DataFrame) -> DataFrame:
 
 
 def filter_images(
-    matched: DataFrame, metrics: DataFrame, site: list[str], key: str, test_year: int, zones: DataFrame | None = None, c: SimpleNamespace | None = None, strict: bool = False, least_months: int = 10, seed: int = 42
+    matched: DataFrame, metrics: DataFrame, site: list[str], key: str, test_year: int, zones: DataFrame | None = None, c: quality.Limits | None = None, strict: bool = False, least_months: int = 10, seed: int = 42
 ) -> dict[str, DataFrame]:
     """audit (all rows with flags and reasons), kept, years and split manifests of all sites. strict: complete water years only."""
     c = c or quality.limits()
@@ -72,7 +70,7 @@ def filter_images(
     return {"audit": audit, "kept": kept, "years": splits.water_year_summary(kept, site, "image_time", c.min_images_per_water_year), "split_manifest": manifest, "summary": summary, "drop_reasons": reasons}
 
 
-def quality_table(images: DataFrame, c: SimpleNamespace | None = None) -> DataFrame:
+def quality_table(images: DataFrame, c: quality.Limits | None = None) -> DataFrame:
     return image_metrics(images, c)
 
 
@@ -97,15 +95,19 @@ def build_sites(parts: list[DataFrame]) -> DataFrame:
     return require_rows(out, "dataset")
 
 
-def feature_table(manifest: DataFrame, images: DataFrame, backbone: str = "convnext_tiny", regions: DataFrame | None = None, refine: bool = True) -> DataFrame:
-    """The manifest with an embedding of each image; regions (roi_path, region) are few and come with the manifest's roi_path."""
+#: Paths up to which their table is broadcast to the pictures (some 200 bytes each); beyond, the pictures are shuffled by path.
+BROADCAST_PATHS = 200_000
+
+
+def feature_table(manifest: DataFrame, images: DataFrame, backbone: str = "convnext_tiny", regions: DataFrame | None = None, refine: bool = True, stand_in: bool = False) -> DataFrame:
+    """The manifest with an embedding of each image; regions (roi_path, region) come with the manifest's roi_path."""
+    make, region = embedder(backbone, stand_in), None
     if regions is not None:
-        paths = manifest.select(F.col("image_path").alias("_path"), "roi_path").join(regions, "roi_path", "left")
-        images = images.join(paths, images["image.origin"] == paths["_path"]).select("image", "region")
-        vectors = embed(images, embedder(backbone), "region", refine)
-    else:
-        vectors = embed(images, embedder(backbone), None, refine)
-    return manifest.join(vectors, "image_path", "left")
+        region = "region"
+        paths = manifest.select(F.col("image_path").alias("_path"), "roi_path").join(regions, "roi_path", "left").select("_path", region)
+        few = manifest.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS
+        images = images.join(F.broadcast(paths) if few else paths, images["image.origin"] == paths["_path"]).select("image", region)
+    return manifest.join(embed(images, make, region, refine), "image_path", "left")
 
 
 def evaluate(features: DataFrame, keys: list[str], seeds: list[int] | None = None, **changes) -> dict[str, DataFrame]:
@@ -141,7 +143,3 @@ def compare_models(metrics: DataFrame) -> dict[str, DataFrame]:
     """The best variant of each site and model, and the best model of each site, by R2."""
     by_model = relational.best_per(metrics, ["site_id", "model"], "R2", ["variant"])
     return {"by_model": by_model, "by_site": relational.best_per(by_model, ["site_id"], "R2", ["model", "variant"])}
-
-
-def load_labels(spark, path: str) -> DataFrame:
-    return labels(spark, path)
