@@ -149,6 +149,37 @@ def test_checked_secrets_and_redaction(spark):
     assert [(r.text, r.n_chars) for r in secrets.redact(df).orderBy("doc_id").collect()] == [(secrets.redacted(text), len(secrets.redacted(text))), (None, None), ("clean", 5)]
 
 
+def plain_spans(t):
+    """jwt and pem spans by one expression each, with nothing skipped."""
+    jwt = re.compile(r"eyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{16,}")
+    pem = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s:,.-]+?-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+    found = [(m.start(), "jwt", m.end()) for m in jwt.finditer(t) if secrets.jwt_head(m[0])]
+    return sorted(found + [(m.start(), "pem", m.end()) for m in pem.finditer(t)])
+
+
+def test_jwt_and_pem_like_plain_expressions():
+    r = random.Random(7)
+    head = base64.urlsafe_b64encode(b'{"alg":"x"}').decode().rstrip("=")
+    parts = [head, "." + head, "eyJ", ".eyJ" + "a" * 9, "." + "b" * 17, ".", " ", "é", "\n", "-----BEGIN PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN A B", "-----END PRIVATE KEY-----", "-----END EC PRIVATE KEY-----", "ab+/=", "-----", "-----BEGIN "]
+    seen = 0
+    for _ in range(4000):
+        t = "".join(r.choice(parts) for _ in range(r.randrange(1, 14)))
+        want = plain_spans(t)
+        seen += len(want)
+        assert [(a, secrets.KINDS[k], b) for a, k, b in secrets.spans(t) if secrets.KINDS[k] in ("jwt", "pem")] == want, t
+    assert seen > 300
+
+
+@pytest.mark.parametrize("unit", ["-----BEGIN PRIVATE KEY-----\nab\n", "-----BEGIN ", "eyJ", "eyJabcdefgh.", "eyJabcdefgh.eyJabcdefgh.", "token", "token ", "token:", "password=", "AKIA", "ghp_", "npm_a", "xoxb-1", "xoxb-12345678-", "-----BEGIN A A A ", "0123456789abcdef", "-----BEGIN PRIVATE KEY-----a-----END PRIVATE KEY-----\n"])
+def test_long_texts_take_linear_time(unit):
+    import time
+
+    text = unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    secrets.spans(text)
+    assert time.process_time() - began < 3  # a second on an idle box; growth with the square would take minutes
+
+
 def test_language_held_out(spark, sf, texts):
     truth = {i: lang for i, _, lang in texts}
     got = queries.op6_language_id(spark, sf).collect()
