@@ -13,6 +13,7 @@ those are verified on full sets too. So every bucket's links are respected exact
 
 The chance that a pair at the limit of 0.75 shares none of the 32 bands of 4 registers is 5e-6, and less above it.
 
+An empty table gives an empty one; other columns, whatever their names, are not read.
 Texts that are null, empty or all white space have no shingles and link with nothing. Rows with the same id count as one node
 of the graph, linked by any of its texts; rows without an id only belong to their equals. Equal texts always share a component. Texts are taken whole.
 """
@@ -20,7 +21,7 @@ of the graph, linked by any of its texts; rows without an id only belong to thei
 from __future__ import annotations
 
 import hashlib
-import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,6 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.llm.bpe import Numbered
 from tarnwork.llm.common import discard, id_text, per_text, written
 from tarnwork.llm.graph import components
 
@@ -49,17 +49,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes that part words; words of more bytes than LONG are hashed one by one, as some texts are a single word.
+PARTS = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
+LONG = 64
+BYTE = mix(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
+PRIME = np.uint64(0x100000001B3)
+
+
+def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word of all texts, words of each text). All words advance by a byte at a time, the longest ones first."""
+    cut = [t.encode("utf-8", "surrogatepass") for t in texts]
+    whole = b"\n".join(cut).lower()
+    data = np.frombuffer(whole, np.uint8)
+    edge = np.diff(np.concatenate([[True], PARTS[data], [True]]).view(np.int8))
+    start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)) + 1)
+    count = np.diff(np.searchsorted(start, ends), prepend=0) if cut else np.empty(0, np.int64)
+    size = stop - start
+    order = np.argsort(-size, kind="stable")
+    first, n = start[order], size[order]
+    live = len(n) - np.searchsorted(n[::-1], np.arange(LONG), "right")  # words of more than k bytes
+    h = np.zeros(len(n), np.uint64)
+    for k in range(LONG):
+        if not (c := live[k]):
+            break
+        h[:c] = mix((h[:c] ^ BYTE[data[first[:c] + k]]) * PRIME) if k % 8 == 7 else (h[:c] ^ BYTE[data[first[:c] + k]]) * PRIME
+    for i in range(len(n) - int(np.searchsorted(n[::-1], LONG, "right"))):
+        h[i] = xxhash.xxh64_intdigest(whole[first[i] : first[i] + n[i]])
+    out = np.empty(len(n), np.uint64)
+    out[order] = mix(h ^ n.astype(np.uint64))
+    return out, count
+
+
 def shingles(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    cut = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    size = [len(x) for x in cut]
-    known = Numbered()
-    at = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(cut)), np.int64, sum(size))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))[at]
+    return _shingles(*hashed_words(texts), words)
+
+
+def _shingles(h: np.ndarray, size: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
     rolled, out, end = np.zeros(max(0, len(h) - words + 1), np.uint64), [], 0
     for k in range(words):
         rolled = mix(rolled * np.uint64(31) + h[k : k + len(rolled)] + GOLDEN)
-    for n in size:
+    for n in size.tolist():
         start, end = end, end + n
         if n >= words:
             own = np.sort(rolled[start : end - words + 1])
@@ -74,27 +105,46 @@ def shingles(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
+#: Steps whose swaps are looked up one by one; only elements that are still open then get a permutation of their own.
+FIRST_STEPS = 4
+
+
 def superminhash(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
     """Registers (sets x m), infinite for empty sets."""
     size = np.array([len(s) for s in sets], np.int64)
     h = np.full(len(sets) * m, np.inf)
-    element = np.concatenate([*sets, np.empty(0, np.uint64)])
-    owner = np.repeat(np.arange(len(sets)), size)
-    order = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(element), 1))
-    live, open_ = np.arange(len(element)), np.flatnonzero(size > 0)
+    element, owner = np.concatenate([*sets, np.empty(0, np.uint64)]), np.repeat(np.arange(len(sets), dtype=np.int32), size)
+    open_, moved, order = np.flatnonzero(size > 0), [], None  # moved: (to, value) of each step's swap
     for j in range(m):
-        if not len(live):
+        if not len(element):
             break
-        draw = mix(element[live] + np.uint64(int(GOLDEN) * (2 * j + 1) % 2**64))
+        draw = mix(element + np.uint64(int(GOLDEN) * (2 * j + 1) % 2**64))
         k = j + (mix(draw ^ GOLDEN) % np.uint64(m - j)).astype(np.int64)
-        register = order[live, k]
-        order[live, k] = order[live, j]
-        np.minimum.at(h, owner[live] * m + register, j + (draw >> np.uint64(11)) * 2.0**-53)
+        if j == FIRST_STEPS:
+            order = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(element), 1))
+            for to, value in moved:
+                order[np.arange(len(element)), to] = value
+        if order is None:
+            register, own = k.copy(), np.full(len(k), j, np.int64)
+            for to, value in moved:
+                register[to == k] = value[to == k]
+                own[to == j] = value[to == j]
+            moved.append((k, own))
+        else:
+            at = np.arange(len(element))
+            register = order[at, k].astype(np.int64)
+            order[at, k] = order[:, j]
+        np.minimum.at(h, owner.astype(np.int64) * m + register, j + (draw >> np.uint64(11)) * 2.0**-53)
         done = h.reshape(-1, m)[open_].max(axis=1) <= j + 1
         if done.any():
             over = np.zeros(len(sets), bool)
             over[open_[done]] = True
-            live, open_ = live[~over[owner[live]]], open_[~done]
+            left, open_ = ~over[owner], open_[~done]
+            element, owner = element[left], owner[left]
+            if order is None:
+                moved = [(to[left], value[left]) for to, value in moved]
+            else:
+                order = order[left]
     return h.reshape(-1, m)
 
 
@@ -108,10 +158,11 @@ def bands(registers: np.ndarray) -> np.ndarray:
 
 
 def _sign(texts: list[str]) -> list:
-    sets = shingles(texts)
+    h, size = hashed_words(texts)
+    sets = _shingles(h, size)
     keys = bands(superminhash(sets)) if texts else np.empty((0, BANDS), np.int64)
     listed = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1)))
-    return [[len(s) for s in sets], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], listed]
+    return [size, [len(s) for s in sets], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], listed]
 
 
 def _sets(texts: list[str]) -> list:
@@ -174,23 +225,30 @@ def open_pairs(rest: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[DataFr
     prefix = prefix.select("s", "id", "n", "component", "shared")
     apart = f"x.component != y.component and x.id < y.id and 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n) and {100 + PERCENT} * least(x.%s, y.%s) >= {PERCENT} * (x.n + y.n)"
     keys = rest.groupBy("id").agg(F.collect_set("key").alias("keys"))
-    placed = rest.select("key", "id").distinct().join(docs.where("frequent > 0").join(keys, "id"), "id")
+    # common shingles alone can link a document only if they are 0.75 of it: with a partner of least size, 0.75 / 1.75 of 1.75 n
+    common = docs.where(f"100 * frequent >= {PERCENT} * n").join(keys, "id")
+    band = F.floor(F.log(F.col("n")) / math.log(100 / PERCENT)).cast("int")  # sizes of linked sets lie in one band or in neighbouring ones
+    placed = written(rest.select("key", "id").distinct().join(common, "id").withColumn("band", band), "placed")
     once = "x.key = array_min(array_intersect(x.keys, y.keys))"  # of the buckets that a pair shares, one speaks for it
-    found = []
-    for rows, on, enough, more in ((prefix, "s", "shared", "true"), (placed, "key", "frequent", once)):
-        pairs = rows.alias("x").join(rows.alias("y"), F.expr(f"x.{on} = y.{on} and {apart % (enough, enough)} and {more}"))
-        found.append(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
-    return found[0].unionByName(found[1]).distinct(), [token, df, docs]
+    pairs = prefix.alias("x").join(prefix.alias("y"), F.expr(f"x.s = y.s and {apart % ('shared', 'shared')}"))
+    wider = placed.withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
+    more = placed.alias("x").join(wider.alias("y"), F.expr(f"x.key = y.key and x.band = y.band and {apart % ('frequent', 'frequent')} and {once}"))
+    found = [p.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")) for p in (pairs, more)]
+    return found[0].unionByName(found[1]).distinct(), [token, df, docs, placed]
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id long, kept boolean) for each row; integer ids."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_shingles, component_id long, kept boolean) for each row; integer ids. With columns to carry along it adds them and n_words."""
     texts = id_text(docs, id_col, text_col).select(F.col("_id").cast("long").alias("_id"), "_text")
-    signed = texts.mapInArrow(per_text(_sign, [pa.int64(), pa.binary(), pa.list_(pa.int64())]), "id long, n long, digest binary, bands array<long>")
-    signed = written(signed, "signed")
+    key = F.struct(F.col(id_col).cast("long").alias("id"), *[F.col(c).alias(f"_{c}") for c in carry])
+    kind = docs.select(key.alias("row")).schema["row"].dataType.simpleString()
+    rows = docs.select(key.alias("row"), F.col(text_col).cast("string").alias("_text"))
+    signed = rows.mapInArrow(per_text(_sign, [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]), f"row {kind}, words long, n long, digest binary, bands array<long>")
+    signed = written(signed.select("row.*", "words", "n", "digest", "bands"), "signed")
+    own = [f"_{c}" for c in carry] + (["words"] if carry else [])
     # what is joined back to the rows it sums up is written first: then both sides are dealt for the join, and a hot key can be split
     classes = written(signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    member = written(signed.select("id", "n", "digest").join(classes, "digest", "left").select("id", "n", "rep"), "member")
+    member = written(signed.select("id", "n", "digest", *own).join(classes, "digest", "left").select("id", "n", "rep", *own), "member")
     heads = signed.where("n > 0").join(member.where("id = rep").select("id").distinct(), "id", "left_semi")
     keyed = written(heads.select("id", "n", F.explode("bands").alias("key")), "keyed")
     hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
@@ -219,7 +277,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(signed, classes, keyed, hubs, mixed, buckets, candidates, sets, tested, group, rest, *used, more, links)
     out = member.join(final.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
+    made = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"), *own)
+    return made.withColumnsRenamed({f"_{c}": c for c in carry} | {"words": "n_words"})
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

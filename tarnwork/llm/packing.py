@@ -1,6 +1,7 @@
 """Conflict-constrained best-fit packing of documents into bins of fixed capacity.
 
-Documents are dealt by a hash of their id to blocks of bounded size, each packed by itself; texts take no part. Within a block
+Documents are dealt by a hash of their id to blocks of bounded size, each packed by itself; texts take no part. Ids that more
+than BUSY rows share, and missing ids, are dealt row by row, so that no block holds them all. Within a block
 they come longest first (ties by id, missing ids first, then by cluster). Bins stand in order of what they have left; each carries a bitmap of its
 sources and one of its duplicate clusters. The search starts at the successor of the document's length and goes on until the
 tightest bin that has neither the document's source nor its cluster is found; else a new bin opens. Longer documents are cut
@@ -8,7 +9,7 @@ into pieces: full ones take a bin each, the rest is packed like a document. Noth
 
 A null source counts as one source of its own, a null cluster conflicts with nothing. Documents of length 0 (also null or
 negative) take no room: bin_id null, piece 0. Repeated rows are packed once for each row; as they share source and cluster,
-they never share a bin. An empty table gives no rows. Other columns are not read.
+they never share a bin. An empty table gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwork.llm.common import written
-from tarnwork.llm.minhash import BROADCAST_IDS, near_duplicates
+from tarnwork.llm.minhash import near_duplicates
 
 CAPACITY, BLOCK = 2048, 20_000
+#: Rows of one id from which on they are dealt to blocks one by one.
+BUSY = 100
 
 
 class Bins:
@@ -93,14 +96,16 @@ def word_count(text: Column) -> Column:
 
 
 def best_fit(docs: DataFrame, size: Column, cluster: Column, capacity: int = CAPACITY, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """(id, piece int, n_tokens long, bin_id long, at long) for each piece of each row; integer ids. bin_id has the block in its upper bits."""
-    blocks = max(1, -(-docs.count() // BLOCK))
+    """(id, piece int, n_words long, bin_id long, at long) for each piece of each row; integer ids. bin_id has the block in its upper bits."""
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"),
         size.cast("long").alias("size"),
         F.xxhash64(F.coalesce(F.col(source_col).cast("string"), F.lit("\0none"))).alias("source"),
         cluster.cast("long").alias("cluster"),
-    ).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    )
+    rows = written(rows, "sizes")
+    blocks = max(1, -(-rows.count() // BLOCK))
+    rows = _dealt(rows, blocks)
 
     def run(table: pa.Table) -> pa.Table:
         ids, sizes, sources, clusters = (table.column(c).to_pylist() for c in ("id", "size", "source", "cluster"))
@@ -110,27 +115,36 @@ def best_fit(docs: DataFrame, size: Column, cluster: Column, capacity: int = CAP
             {
                 "id": pa.array([ids[r[0]] for r in made], pa.int64()),
                 "piece": pa.array([r[1] for r in made], pa.int32()),
-                "n_tokens": pa.array([r[2] for r in made], pa.int64()),
+                "n_words": pa.array([r[2] for r in made], pa.int64()),
                 "bin_id": pa.array([None if r[3] is None else (block << 32) + r[3] for r in made], pa.int64()),
                 "at": pa.array([r[4] for r in made], pa.int64()),
             }
         )
 
-    packed = rows.groupBy("block").applyInArrow(run, "id long, piece int, n_tokens long, bin_id long, at long")
+    packed = rows.groupBy("block").applyInArrow(run, "id long, piece int, n_words long, bin_id long, at long")
     return packed.withColumnRenamed("id", id_col)
 
 
+def _dealt(rows: DataFrame, blocks: int) -> DataFrame:
+    """rows (a written table) with their block: a hash of the id, and, for ids that many rows share or that are missing, of their place in the table."""
+    busy = rows.groupBy(F.col("id").alias("busy")).agg(F.count("*").alias("n")).where(F.col("n") > BUSY) if blocks > 1 else None
+    if busy is None or not busy.limit(1).count():
+        return rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    placed = rows.withColumn("place", F.monotonically_increasing_id()).join(busy, F.col("id").eqNullSafe(F.col("busy")), "left")
+    key = F.xxhash64("id", F.when(F.col("n").isNotNull(), F.col("place")))
+    return placed.select("id", "size", "source", "cluster", F.pmod(key, F.lit(blocks)).alias("block"))
+
+
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """best_fit() of documents by their words; equal texts are a duplicate cluster."""
     return best_fit(docs, word_count(F.col("text")), F.xxhash64("text"), capacity)
 
 
 def pack_apart(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pack_documents(), but a duplicate cluster is a component of near copies, equal texts included. A row without an id goes by its text."""
+    """pack_documents(), but a duplicate cluster is a component of near copies, equal texts included. A row without an id goes by its text.
+
+    Words are counted where shingles are made, so texts are not read again for them.
+    """
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    found = near_duplicates(docs.select(key.alias("key"), "text"), "key").groupBy("key").agg(F.min("component_id").alias("component"))
-    copies = written(found.where("key != component"), "copies")
-    if copies.count() <= BROADCAST_IDS:
-        copies = F.broadcast(copies)
-    rows = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
-    return best_fit(rows.join(copies, "key", "left"), F.col("size"), F.coalesce("component", "key"), capacity)
+    rows = near_duplicates(docs.select(key.alias("key"), "text", "doc_id", "source"), "key", carry=("doc_id", "source"))
+    return best_fit(rows, F.col("n_words"), F.col("component_id"), capacity)

@@ -75,6 +75,42 @@ def test_family_around_the_threshold(spark):
     assert sorted(map(tuple, got.collect())) == near_of(rows)
 
 
+def test_words_are_told_apart():
+    r = random.Random(6)
+    words = ["", "a", "b", "ab", "ba", "\x00", "\x00\x00", "é", "É", "x" * 64, "x" * 65, "x" * 66, "Z" * 9, "z" * 9, *("".join(r.choice("ab") for _ in range(r.randrange(1, 30))) for _ in range(500))]
+    h, n = minhash.hashed_words([" ".join(words), None or "", "a  b\tc\nd\x0be\x0cf\rg\x1ch\x85i\xa0j", *words])
+    assert n.tolist()[:3] == [len(words) - 1, 0, 7] and n.tolist()[3:] == [0] + [1] * (len(words) - 1)
+    known = {}
+    for w, x in zip(words[1:], h, strict=False):
+        assert known.setdefault(w.encode().lower(), x) == x
+    assert len(set(known.values())) == len(known) and h[len(words) + 6 :].tolist() == h[: len(words) - 1].tolist()
+
+
+def test_a_bucket_of_many_components_is_not_paired(spark):
+    """20,000 documents in one bucket that share passages but hardly any link: every link is found, in seconds."""
+    import time
+
+    rng = np.random.default_rng(3)
+    passages = rng.integers(1, 2**62, (12, 60))
+    sets, links = [], set()
+    for i in range(20_000):
+        own = rng.integers(1, 2**62, int(rng.integers(40, 160)))
+        sets.append(np.unique(np.concatenate([passages[rng.permutation(12)[:4]].reshape(-1), own])).astype(np.uint64))
+        if i % 100 == 1:
+            sets[i] = np.unique(np.concatenate([sets[i - 1][:-5], own[:3].astype(np.uint64)]))
+            links.add((i - 1, i))
+    rest = spark.createDataFrame([(1, i, len(s), i) for i, s in enumerate(sets)], "key long, id long, n long, component long")
+    table = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "id long, set binary")
+    began = time.time()
+    pairs, _ = minhash.open_pairs(rest, table)
+    found = {(r.a, r.b) for r in minhash.verify(pairs, table).where("100 * common >= 75 * both").collect()}
+    assert time.time() - began < 90  # all pairs would be 2e8
+    assert links <= found and all(len(np.intersect1d(sets[a], sets[b])) * 100 >= 75 * len(np.union1d(sets[a], sets[b])) for a, b in found)
+    for i in rng.integers(0, 20_000, 4).tolist():  # against brute force
+        near = {(min(i, j), max(i, j)) for j in range(20_000) if j != i and min(len(sets[i]), len(sets[j])) * 100 >= 75 * max(len(sets[i]), len(sets[j])) and len(np.intersect1d(sets[i], sets[j], assume_unique=True)) * 100 >= 75 * len(np.union1d(sets[i], sets[j]))}
+        assert near <= found
+
+
 def test_near_duplicate_edges(spark):
     rows = [(9, None), (8, ""), (7, " \n"), (6, "a b"), (5, "A  B"), (4, "a b c d e"), (3, "x " * 5000), (3, "x " * 5000), (2, "é ü"), (1, "É ü")]
     df = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id int, text string, n int, key string")
@@ -198,8 +234,8 @@ def test_packing_keeps_every_word(spark, sf, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK", 70)
     got = queries.op1_best_fit_packing(spark, sf)
     want = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall()}
-    assert {r.doc_id: r.n for r in got.groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()} == want
-    assert got.groupBy("bin_id").agg(F.sum("n_tokens").alias("n")).where(f"n > {packing.CAPACITY}").count() == 0
+    assert {r.doc_id: r.n for r in got.groupBy("doc_id").agg(F.sum("n_words").alias("n")).collect()} == want
+    assert got.groupBy("bin_id").agg(F.sum("n_words").alias("n")).where(f"n > {packing.CAPACITY}").count() == 0
     df = spark.createDataFrame([(1, None, None, "s", 1, 2), (2, "", "en", None, 1, 2), (3, "a " * 5000, None, "s", None, 2), (3, "a " * 5000, None, "s", None, 2)], "doc_id int, text string, lang string, source string, bin_id int, size int")
     out = packing.pack_documents(df)
     assert out.where("doc_id = 3").count() == 6 and out.where("bin_id is null").count() == 2
@@ -218,7 +254,7 @@ def test_near_copies_never_share_a_bin(spark, tmp_path):
     r.shuffle(rows)
     spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     got = queries.op1_best_fit_packing(spark, str(tmp_path)).collect()
-    assert len(got) == len(rows) and sum(x.n_tokens for x in got) == sum(len(x[1].split()) for x in rows)
+    assert len(got) == len(rows) and sum(x.n_words for x in got) == sum(len(x[1].split()) for x in rows)
     held = Counter((x.bin_id, x.doc_id // 10) for x in got if x.doc_id is not None)
     assert max(held.values()) == 1
     one = [(j, t, "en", f"s{j}", 1) for j, t in enumerate(own)] + [(None, text, "en", "s8", 1), (None, text, "en", "s9", 1)]
@@ -226,6 +262,16 @@ def test_near_copies_never_share_a_bin(spark, tmp_path):
     assert packing.pack_apart(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_rows_that_share_an_id_are_dealt_to_all_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 500)
+    rows = [(None, "one two three", "en", "s", 1)] * 4000 + [(7, "four five", "en", "t", 1)] * 3000 + [(i, "six", "en", "u", 1) for i in range(1000, 2000)]
+    df = spark.createDataFrame(rows, DOCS).repartition(6)
+    blocks = packing._dealt(df.select(F.col("doc_id").alias("id"), F.lit(3).alias("size"), "source", F.lit(1).alias("cluster")), 16).groupBy("block").count().collect()
+    assert len(blocks) == 16 and max(r["count"] for r in blocks) < 1000
+    got = packing.pack_documents(df)
+    assert got.count() == 8000 and got.groupBy("bin_id").count().where("count > 3").count() == 0 and got.where("bin_id is null").count() == 0
+
+
 # --- lines and the pipeline ----------------------------------------------------------------------------------------------
 
 
