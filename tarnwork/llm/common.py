@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,5 +110,84 @@ def pieces(texts: pa.Array, step: int = STEP_CHARS) -> Iterator[tuple[int, int]]
         yield start, len(texts) - start
 
 
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes that part words; words of more bytes than LONG are taken one by one, as some texts are a single word.
+WHITE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
+LONG = 64
+PRIME = np.uint64(0x100000001B3)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """The finalizer of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+BYTE = mix(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
+
+
+class Words:
+    """The words of texts, between ASCII white space, as places in one buffer of UTF-8; `count` has how many each text has.
+
+    What is done to every word goes on byte by byte for all of them at once, the longest first.
+    """
+
+    def __init__(self, texts: list[str], lower: bool = False):
+        cut = [t.encode("utf-8", "surrogatepass") for t in texts]
+        whole = b"\n".join(cut)
+        self.whole = whole.lower() if lower else whole
+        self.data = np.frombuffer(self.whole, np.uint8)
+        edge = np.diff(np.concatenate([[True], WHITE[self.data], [True]]).view(np.int8))
+        self.start = np.flatnonzero(edge == -1)
+        self.size = np.flatnonzero(edge == 1) - self.start
+        ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)) + 1)
+        self.count = np.diff(np.searchsorted(self.start, ends), prepend=0) if cut else np.empty(0, np.int64)
+        self.order = np.argsort(-self.size, kind="stable")
+        rising = self.size[self.order][::-1]
+        self.live = len(rising) - np.searchsorted(rising, np.arange(LONG + 1), "right")  # words of more than k bytes
+
+    def __getitem__(self, i: int) -> bytes:
+        return self.whole[self.start[i] : self.start[i] + self.size[i]]
+
+    def taken(self, at: np.ndarray) -> list[bytes]:
+        whole = self.whole
+        return [whole[a:b] for a, b in zip(self.start[at].tolist(), (self.start + self.size)[at].tolist(), strict=True)]
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of each word."""
+        first, h = self.start[self.order], np.zeros(len(self.order), np.uint64)
+        for k, c in enumerate(self.live[:LONG].tolist()):
+            if not c:
+                break
+            own = (h[:c] ^ BYTE[self.data[first[:c] + k]]) * PRIME
+            h[:c] = mix(own) if k % 8 == 7 else own
+        for i in range(self.live[LONG]):
+            h[i] = xxhash.xxh64_intdigest(self[self.order[i]])
+        out = np.empty(len(h), np.uint64)
+        out[self.order] = mix(h ^ self.size[self.order].astype(np.uint64))
+        return out
+
+    def same_as(self, other: np.ndarray) -> bool:
+        """Whether every word i has the bytes of word other[i]."""
+        if not (self.size == self.size[other]).all():
+            return False
+        first, second = self.start[self.order], self.start[other[self.order]]
+        apart = np.flatnonzero(first != second)
+        first, second, size = first[apart], second[apart], self.size[self.order][apart]
+        live = len(size) - np.searchsorted(size[::-1], np.arange(LONG), "right")
+        for k, c in enumerate(live.tolist()):
+            if not c:
+                break
+            if (self.data[first[:c] + k] != self.data[second[:c] + k]).any():
+                return False
+        return all(self.whole[a : a + n] == self.whole[b : b + n] for a, b, n in zip(first.tolist(), second.tolist(), size[: (size > LONG).sum()].tolist()))
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """(places of the distinct words, number of each word among them); None where two words share a hash."""
+        _, first, number = np.unique(self.hashes(), return_index=True, return_inverse=True)
+        return (first, number) if self.same_as(first[number]) else None
+
+
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))

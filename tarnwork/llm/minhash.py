@@ -25,11 +25,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import discard, id_text, per_text, written
+from tarnwork.llm.common import GOLDEN, Words, discard, id_text, mix, per_text, written
 from tarnwork.llm.graph import components
 
 WORDS, PERCENT = 5, 75
@@ -39,51 +38,12 @@ REGISTERS = BANDS * ROWS
 BROADCAST_IDS = 1_000_000
 #: Documents up to which a shingle counts as rare.
 RARE = 64
-GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """The finalizer of splitmix64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-#: Bytes that part words; words of more bytes than LONG are hashed one by one, as some texts are a single word.
-PARTS = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
-LONG = 64
-BYTE = mix(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
-PRIME = np.uint64(0x100000001B3)
-
-
-def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word of all texts, words of each text). All words advance by a byte at a time, the longest ones first."""
-    cut = [t.encode("utf-8", "surrogatepass") for t in texts]
-    whole = b"\n".join(cut).lower()
-    data = np.frombuffer(whole, np.uint8)
-    edge = np.diff(np.concatenate([[True], PARTS[data], [True]]).view(np.int8))
-    start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)) + 1)
-    count = np.diff(np.searchsorted(start, ends), prepend=0) if cut else np.empty(0, np.int64)
-    size = stop - start
-    order = np.argsort(-size, kind="stable")
-    first, n = start[order], size[order]
-    live = len(n) - np.searchsorted(n[::-1], np.arange(LONG), "right")  # words of more than k bytes
-    h = np.zeros(len(n), np.uint64)
-    for k in range(LONG):
-        if not (c := live[k]):
-            break
-        h[:c] = mix((h[:c] ^ BYTE[data[first[:c] + k]]) * PRIME) if k % 8 == 7 else (h[:c] ^ BYTE[data[first[:c] + k]]) * PRIME
-    for i in range(len(n) - int(np.searchsorted(n[::-1], LONG, "right"))):
-        h[i] = xxhash.xxh64_intdigest(whole[first[i] : first[i] + n[i]])
-    out = np.empty(len(n), np.uint64)
-    out[order] = mix(h ^ n.astype(np.uint64))
-    return out, count
 
 
 def shingles(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    return _shingles(*hashed_words(texts), words)
+    own = Words(texts, lower=True)
+    return _shingles(own.hashes(), own.count, words)
 
 
 def _shingles(h: np.ndarray, size: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
@@ -158,11 +118,11 @@ def bands(registers: np.ndarray) -> np.ndarray:
 
 
 def _sign(texts: list[str]) -> list:
-    h, size = hashed_words(texts)
-    sets = _shingles(h, size)
+    own = Words(texts, lower=True)
+    sets = _shingles(own.hashes(), own.count)
     keys = bands(superminhash(sets)) if texts else np.empty((0, BANDS), np.int64)
     listed = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1)))
-    return [size, [len(s) for s in sets], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], listed]
+    return [own.count, [len(s) for s in sets], [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], listed]
 
 
 def _sets(texts: list[str]) -> list:

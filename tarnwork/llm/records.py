@@ -1,22 +1,30 @@
 """Token ids as length-delimited binary records in shards, with a separate index.
 
-A shard holds documents of one range of ids, in ascending order. A record is: payload length (unsigned 64 bits), its masked
+A shard holds documents of one range of ids, in ascending order. It begins with a head: eight bytes of format and version, the width of an
+id (unsigned 32 bits) and their masked checksum. A record is: payload length (unsigned 64 bits), its masked
 checksum, the payload, the payload's masked checksum (both unsigned 32 bits, all little-endian). The payload is the document's
 number (64 bits) and its ids, each in `width` bytes. The index beside the shard has (document, offset, ids) in 20 bytes for each
 record, so that a reader can take records in any order. A checksum is CRC-32, masked by rotation and an added constant, as
 framed logs do so that checksums of data that hold checksums stay useful.
 
 Tasks write to a name of their own and rename when done, so a task that is run again leaves one whole shard. Shards go to the
-folder that all executors share, through pyarrow.fs. Only one row for each shard reaches the driver.
-
-Null text counts as empty: its record has the end id alone. Rows with the same document number follow each other, ordered by
-text; those without one come first. An empty table writes no record. Other columns are not read.
+folder that all executors share, through pyarrow.fs; their number follows the table's bytes. When all are there, what failed attempts and earlier
+runs left in the folder is removed and a manifest is written: width, end id, the tokenizer file's SHA-256, and a line for each
+shard with its documents, ids and the ids before it. opened() reads it in any later session. Only one row for each shard
+reaches the driver.
+
+Null text counts as empty: its record has the end id alone. Rows with the same document number follow each other in order of
+text; those without a number come first. If either fill several shards, these part them by the first 64 characters, then by place in the table (so
+the table should be a written one), and only within a shard the whole text counts. An empty table writes no record. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import itertools
+import json
+import os
 import struct
 import uuid
 import zlib
@@ -25,11 +33,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.llm.bpe import Numbered, ragged
-from tarnwork.llm.common import new_dir, pieces
+from tarnwork.llm.common import Words, new_dir, pieces, remove
 
 FRAME, INDEX = struct.Struct("<QI"), np.dtype([("doc", "<i8"), ("offset", "<u8"), ("ids", "<u4")])
 #: Words that a worker remembers before it starts afresh.
@@ -37,7 +45,12 @@ REMEMBERED = 700_000
 #: A word of one token that parts words in a call.
 SEPARATOR = b"\x01"
 MASK = 0xA282EAD8
+MAGIC, HEAD = b"twrec\0\0\1", struct.Struct("<8sII")
+HEAD_BYTES = HEAD.size
+#: Bytes of input (as the table's statistics tell) for a shard.
+SHARD_BYTES = 64 << 20
 BUFFER = 4 << 20
+MANIFEST = "manifest.json"
 #: Stands for a missing document number.
 NO_DOC = -(1 << 63)
 
@@ -56,6 +69,7 @@ class WordTokenizer:
     """A tokenizers file whose tokens never cross ASCII white space: each distinct word is encoded once."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path if path.startswith("/") else SparkFiles.get(path))
@@ -88,16 +102,16 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > REMEMBERED:
             self.forget()
-        before, words = len(self.known), [t.encode().split() for t in texts]
-        counts = [len(x) for x in words]
-        at = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(words)), np.int64, sum(counts))
+        before, words = len(self.known), Words(texts)
+        first, number = words.distinct() or (np.arange(len(words.size)),) * 2
+        at = np.fromiter(map(self.known.__getitem__, words.taken(first)), np.int64, len(first))[number]
         if new := list(itertools.islice(self.known, before, None)):
             ids, size = self._encoded(new)
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
             self.flat = np.concatenate([self.flat, ids])
         size = self.size[at]
-        cut = np.concatenate([[0], np.cumsum(size)])[np.cumsum(counts)[:-1]] if counts else []
+        cut = np.concatenate([[0], np.cumsum(size)])[np.cumsum(words.count)[:-1]] if texts else []
         return np.split(ragged(self.flat, self.start[at], size), cut) if texts else []
 
 
@@ -116,8 +130,11 @@ def write(docs: DataFrame, path: str, end_id: int, out_dir: str | None = None, s
     """Writes the shards (in out_dir, or a fresh folder in the shared one) and returns a row for each: shard, uri, n_docs, n_ids, start, width."""
     spark = docs.sparkSession
     out_dir = out_dir or new_dir(spark, "records")
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_DOC)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_DOC)).alias("doc"), F.monotonically_increasing_id().alias("place"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if not shards:
+        size = int(str(docs.select(text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // SHARD_BYTES), 1_000_000))
+    remove(spark, f"{out_dir}/{MANIFEST}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, tok = TaskContext.get().partitionId(), tokenizer(path)
@@ -125,8 +142,10 @@ def write(docs: DataFrame, path: str, end_id: int, out_dir: str | None = None, s
         fs, folder = _fs(out_dir)
         fs.create_dir(folder, recursive=True)
         name, own = f"{folder}/shard-{shard:06d}", f"{folder}/.{uuid.uuid4().hex}"
-        n_docs = n_ids = offset = 0
+        n_docs = n_ids = 0
+        offset = HEAD_BYTES
         with fs.open_output_stream(f"{own}.rec", buffer_size=BUFFER) as rec, fs.open_output_stream(f"{own}.idx", buffer_size=BUFFER) as idx:
+            rec.write(headed(tok.width))
             for batch in batches:
                 for at, n in pieces(batch.column(1)):
                     numbers = batch.column(0).slice(at, n).to_pylist()
@@ -144,39 +163,83 @@ def write(docs: DataFrame, path: str, end_id: int, out_dir: str | None = None, s
         if n_docs:
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "uri": [uri], "n_docs": [n_docs], "n_ids": [n_ids], "width": pa.array([tok.width], pa.int32())})
 
-    made = rows.repartitionByRange(shards, "doc").sortWithinPartitions("doc", "text").mapInArrow(run, "shard int, uri string, n_docs long, n_ids long, width int")
+    dealt = rows.repartitionByRange(shards, F.col("doc"), F.left("text", F.lit(64)), F.col("place")).sortWithinPartitions("doc", "text").select("doc", "text")
+    made = dealt.mapInArrow(run, "shard int, uri string, n_docs long, n_ids long, width int")
     start, manifest = 0, []
     for r in sorted(made.collect()):  # as many rows as shards
         manifest.append((*r[:4], start, r[4]))
         start += r[3]
+    _finish(spark, out_dir, path, end_id, manifest)
     return spark.createDataFrame(manifest, "shard int, uri string, n_docs long, n_ids long, start long, width int")
 
 
-def read_shard(uri: str, width: int) -> Iterator[tuple[int, np.ndarray]]:
+def headed(width: int) -> bytes:
+    return HEAD.pack(MAGIC, width, masked(MAGIC + struct.pack("<I", width)))
+
+
+def _width(head: bytes, uri: str) -> int:
+    magic, width, check = HEAD.unpack(head) if len(head) == HEAD.size else (b"", 0, 0)
+    if magic != MAGIC or masked(head[:12]) != check:
+        raise ValueError(f"{uri}: no shard of this format")
+    return width
+
+
+def _finish(spark: SparkSession, out_dir: str, path: str, end_id: int, shards: list[tuple]) -> None:
+    """Removes what is none of the shards, and writes the manifest last."""
+    jvm, known = spark.sparkContext._jvm, {f"{uri.rsplit('/', 1)[1]}.{end}" for _, uri, *_ in shards for end in ("rec", "idx")}
+    at = jvm.org.apache.hadoop.fs.Path(out_dir)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.listStatus(at) if fs.exists(at) else []:
+        name = found.getPath().getName()
+        if name not in known and (name.startswith("shard-") or name.removeprefix(".").split(".")[-1] in ("rec", "idx")):
+            fs.delete(found.getPath(), False)
+    with open(path if path.startswith("/") else SparkFiles.get(path), "rb") as f:
+        tokenizer_hash = hashlib.file_digest(f, "sha256").hexdigest()
+    head = {"format": "twrec-1", "end_id": end_id, "tokenizer_sha256": tokenizer_hash, "shards": len(shards), "ids": sum(r[3] for r in shards)}
+    rows = [{"shard": r[0], "name": r[1].rsplit("/", 1)[1], "n_docs": r[2], "n_ids": r[3], "start": r[4], "width": r[5]} for r in shards]
+    out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{out_dir}/{MANIFEST}"), True)
+    try:
+        for at in range(0, len(rows) + 1, 10_000):
+            out.write(bytearray("".join(json.dumps(x) + "\n" for x in ([head] if not at else []) + rows[at : at + 10_000]).encode()))
+    finally:
+        out.close()
+
+
+def opened(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The shards of a folder that write() has finished, as write() returns them."""
+    lines = spark.read.schema("format string, shard int, name string, n_docs long, n_ids long, start long, width int").json(f"{out_dir}/{MANIFEST}")
+    return lines.where("format is null").select("shard", F.concat(F.lit(f"{out_dir}/"), "name").alias("uri"), "n_docs", "n_ids", "start", "width")
+
+
+def read_shard(uri: str) -> Iterator[tuple[int, np.ndarray]]:
     """(document, ids) of each record, in order; checks every checksum and the index."""
     fs, name = _fs(uri)
     with fs.open_input_stream(f"{name}.rec", buffer_size=BUFFER) as rec, fs.open_input_stream(f"{name}.idx", buffer_size=BUFFER) as idx:
-        offset = 0
+        width, offset = _width(rec.read(HEAD.size), uri), HEAD.size
         while head := rec.read(FRAME.size):
-            size, check = FRAME.unpack(head)
+            size, check = FRAME.unpack(head) if len(head) == FRAME.size else (0, None)
             if masked(head[:8]) != check:
                 raise ValueError(f"{uri}: the length at {offset} does not agree with its checksum")
             payload, check = rec.read(size), rec.read(4)
-            if len(payload) < size or masked(payload) != struct.unpack("<I", check)[0]:
+            if len(payload) < size or len(check) < 4 or masked(payload) != struct.unpack("<I", check)[0]:
                 raise ValueError(f"{uri}: the record at {offset} does not agree with its checksum")
             doc, ids = struct.unpack_from("<q", payload)[0], np.frombuffer(payload, f"<u{width}", offset=8)
-            if np.frombuffer(idx.read(INDEX.itemsize), INDEX)[0].tolist() != (doc, offset, len(ids)):
+            entry = idx.read(INDEX.itemsize)
+            if len(entry) < INDEX.itemsize or np.frombuffer(entry, INDEX)[0].tolist() != (doc, offset, len(ids)):
                 raise ValueError(f"{uri}: the index does not agree with the record at {offset}")
             offset += FRAME.size + size + 4
             yield doc, ids
+        if idx.read(1):
+            raise ValueError(f"{uri}: the index has more entries than there are records")
 
 
-def read_at(uri: str, width: int, row: int) -> tuple[int, np.ndarray]:
+def read_at(uri: str, row: int) -> tuple[int, np.ndarray]:
     """Record number `row` of a shard, found by its index."""
     fs, name = _fs(uri)
     with fs.open_input_file(f"{name}.idx") as f:
         doc, offset, n = np.frombuffer(f.read_at(INDEX.itemsize, row * INDEX.itemsize), INDEX)[0].tolist()
     with fs.open_input_file(f"{name}.rec") as f:
+        width = _width(f.read_at(HEAD.size, 0), uri)
         return doc, np.frombuffer(f.read_at(n * width, offset + FRAME.size + 8), f"<u{width}")
 
 
@@ -187,7 +250,7 @@ def read(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 at, rows = r["start"], []
-                for doc, ids in read_shard(r["uri"], r["width"]):
+                for doc, ids in read_shard(r["uri"]):
                     rows.append((doc, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     at += len(ids)
                     if len(rows) == 10_000:
@@ -197,6 +260,5 @@ def read(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names)
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = manifest.repartition(n, "shard").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    out = manifest.repartition(max(1, manifest.count())).mapInArrow(run, ", ".join(f"{x} long" for x in names))
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_DOC)))

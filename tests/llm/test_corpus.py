@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwork.llm import covertree, lines, minhash, packing, queries
+from tarnwork.llm import common, covertree, lines, minhash, packing, queries
 from tarnwork.llm.graph import Forest, components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -78,7 +78,10 @@ def test_family_around_the_threshold(spark):
 def test_words_are_told_apart():
     r = random.Random(6)
     words = ["", "a", "b", "ab", "ba", "\x00", "\x00\x00", "é", "É", "x" * 64, "x" * 65, "x" * 66, "Z" * 9, "z" * 9, *("".join(r.choice("ab") for _ in range(r.randrange(1, 30))) for _ in range(500))]
-    h, n = minhash.hashed_words([" ".join(words), None or "", "a  b\tc\nd\x0be\x0cf\rg\x1ch\x85i\xa0j", *words])
+    own = common.Words([" ".join(words), "", "a  b\tc\nd\x0be\x0cf\rg\x1ch\x85i\xa0j", *words], lower=True)
+    h, n = own.hashes(), own.count
+    first, number = own.distinct()
+    assert [own[first[k]] for k in number] == [own[i] for i in range(len(h))] and not own.same_as(np.roll(np.arange(len(h)), 1))
     assert n.tolist()[:3] == [len(words) - 1, 0, 7] and n.tolist()[3:] == [0] + [1] * (len(words) - 1)
     known = {}
     for w, x in zip(words[1:], h, strict=False):

@@ -221,16 +221,33 @@ def test_records_round_trip(spark, sf, texts, odd, empty):
 def test_records_by_index_and_damage(spark, tmp_path):
     df = spark.createDataFrame([(i, f"word{i} " * i) for i in range(20)], "doc_id int, text string")
     r = records.write(df, queries.tokenizer_path("word_bpe_49k.json"), 2, f"file://{tmp_path}", 1).first()
-    whole = list(records.read_shard(r.uri, r.width))
+    whole = list(records.read_shard(r.uri))
     assert [d for d, _ in whole] == list(range(20))
-    doc, ids = records.read_at(r.uri, r.width, 13)
+    doc, ids = records.read_at(r.uri, 13)
     assert doc == 13 and ids.tolist() == whole[13][1].tolist()
     file = next(tmp_path.glob("*.rec"))
     data = bytearray(file.read_bytes())
     data[len(data) // 2] ^= 1
     file.write_bytes(data)
     with pytest.raises(ValueError):
-        list(records.read_shard(r.uri, r.width))
+        list(records.read_shard(r.uri))
+
+
+def test_a_folder_of_records_is_read_by_itself(spark, tmp_path):
+    path, folder = queries.tokenizer_path("word_bpe_49k.json"), f"file://{tmp_path}"
+    rows = [(None, f"text {i % 3}") for i in range(900)] + [(i, f"word{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    df.write.parquet(f"{folder}/in")
+    records.write(df, path, 2, f"{folder}/out", 9)
+    (tmp_path / "out" / ".0123.rec").write_bytes(b"left by a failed attempt")
+    first = records.write(spark.read.parquet(f"{folder}/in"), path, 2, f"{folder}/out", 6)
+    assert first.select("n_docs").agg(F.max("n_docs")).first()[0] < 500  # rows without an id are dealt to several shards
+    found = records.opened(spark, f"{folder}/out")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, first.collect()))
+    assert {x.name.split(".")[0] for x in (tmp_path / "out").iterdir() if "shard" in x.name and not x.name.startswith(".")} == {r.uri.split("/")[-1] for r in found.collect()}
+    assert not [x for x in (tmp_path / "out").iterdir() if x.name.startswith(".0123")]
+    got = sorted(map(tuple, records.read(found).collect()), key=lambda r: r[1])
+    assert len(got) == len(rows) and [r[0] for r in got] == [None] * 900 + list(range(200)) and [r[1] for r in got[1:]] == list(itertools.accumulate(r[2] for r in got[:-1]))
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><header><h1>Site</h1></header><nav><ul>{menu}</ul></nav>
