@@ -171,6 +171,27 @@ def test_vector_clusters_and_edges(spark, monkeypatch, kind):
     assert covertree.near_vectors(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("tight", [0.002, 0.03])
+def test_cells_that_are_settled_as_a_whole(spark, monkeypatch, tight):
+    """Tight groups along an arc, each linked with some neighbours as a whole, equal vectors, and very large and small components."""
+    monkeypatch.setattr(covertree, "BLOCK", 40)
+    monkeypatch.setattr(covertree, "TILE", 100)
+    rng = np.random.default_rng(2)
+    x = []
+    for k, turn in enumerate([0.0, 0.15, 0.3, 0.55, 0.7, 1.4, 1.6, 2.5, 2.93]):
+        middle = np.zeros(12)
+        middle[:2] = np.cos(turn), np.sin(turn)
+        x.append((middle + rng.normal(size=(90, 12)) * tight) * 10.0 ** (40 * k - 160))
+    x = np.concatenate([*x, np.tile(x[4][:1], (200, 1))])
+    ids = [int(i) for i in rng.permutation(5000)[: len(x)]]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, covertree.near_vectors(df).collect())) == linked_of(ids, x / np.abs(x).max(axis=1, keepdims=True))
+    cells = covertree.Cells()
+    top = cells.add(-1, 12, None)
+    cells.seen(top, 1, 1, 0, 2.0)
+    assert cells.descend(0.9)[0] == [(top, top)]
+
+
 def test_tree_is_nested():
     x = np.random.default_rng(1).normal(size=(300, 5)).astype(np.float32)
     t = covertree.build(np.arange(300), x)
