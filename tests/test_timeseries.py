@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tarnwork.operators import timeseries as ts
 
@@ -74,3 +75,30 @@ def test_like_pandas(spark, slice_seconds):
 def test_pivot_takes_last_known_and_drops_empty(spark):
     df = spark.createDataFrame([(1, "a", 1.0, 0), (1, "a", None, 1), (1, "b", 2.0, 2), (2, "a", None, 3)], "k int, n string, v double, s int")
     assert [tuple(r) for r in ts.pivot_last(df, ["k"], "n", "v", ["s"], ["a", "b"]).collect()] == [(1, 1.0, 2.0)]
+
+
+@pytest.mark.parametrize("slice_seconds", [0, 3600, 86400])
+def test_rows_may_come_in_any_order(spark, slice_seconds):
+    """Readings of one time, gaps and hot slices: the same rows however the inputs are dealt."""
+    rng = np.random.default_rng(9)
+    targets = [(i, "ab"[i % 2], at(int(m))) for i, m in enumerate(rng.integers(-100, 6000, 300))]
+    readings = [("ab"[i % 2], at(int(m)), None if i % 7 == 0 else float(rng.integers(0, 50))) for i, m in enumerate(rng.integers(0, 300, 400) * 20)]
+    t = spark.createDataFrame(targets, "i int, k string, t timestamp_ntz")
+    r = spark.createDataFrame(readings, "k string, rt timestamp_ntz, v double")
+    seen = set()
+    for turn in range(3):
+        t2, r2 = t.repartition(3 + turn, F.rand(turn)), r.repartition(2 + turn, F.rand(turn + 5))
+        a = ts.asof_nearest(t2, r2, ["k"], "t", "rt", ["v"], 45.0, slice_seconds=slice_seconds)
+        b = ts.interpolate_at(t2, r2, ["k"], "t", "rt", "v", 90.0, slice_seconds=slice_seconds)
+        seen.add((tuple(sorted(map(repr, a.collect()))), tuple(sorted(map(repr, b.collect())))))
+    assert len(seen) == 1
+    whole = ts.interpolate_at(t, r, ["k"], "t", "rt", "v", 90.0, slice_seconds=0)
+    assert next(iter(seen))[1] == tuple(sorted(map(repr, whole.collect())))
+
+
+def test_long_keys_are_cut(spark, monkeypatch):
+    _, r = frames(spark, [], [(m, 1.0) for m in range(100)])
+    assert ts.slice_width(r, ["k"], "rt") == 0 and ts.slice_width(r.where("false"), ["k"], "rt") == 0
+    monkeypatch.setattr(ts, "LONG_KEY", 50)
+    monkeypatch.setattr(ts, "SLICE_ROWS", 10)
+    assert ts.slice_width(r, ["k"], "rt") == 99 * 60 // 10
