@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,9 +26,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset and all runs on one machine (tests), a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tarnwork-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -65,6 +68,19 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, changes: dict[str, str]) -> Iterator[None]:
+    """Spark's settings, changed while something is written."""
+    before = {k: spark.conf.get(k, None) for k in changes}
+    try:
+        for k, v in changes.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes what written() wrote; for frames that nothing will read again."""
     for df in frames:

@@ -22,15 +22,16 @@ from __future__ import annotations
 
 import functools
 import io
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import discard, written
+from tarnwork.llm.common import discard, settings, written
 from tarnwork.llm.graph import components
 
 THRESHOLD = 0.9
@@ -39,6 +40,8 @@ BLOCK, TILE, WIDE = 3000, 12_000, 256
 #: Centres of a split at most, sampled vectors for each of them, and rounds of splits. A cell that is still too large is dealt to blocks by a hash.
 MAX_PIVOTS, SAMPLED, ROUNDS = 64, 8, 8
 RADII = (2.0, 1.0, 0.5, 0.25, 0.125, 0.0625)
+#: A net of more than one in so many vectors is left out: its pairs cost as much as those of the vectors and drop next to none.
+DENSE = 4
 #: Under this share of live pairs among live rows and columns, pairs are taken one by one.
 SPARSE = 0.02
 
@@ -75,6 +78,16 @@ class Tree:
             return Tree(z["ids"], z["x"], z["weight"], unit(z["x"]), n, np.split(z["parent"], cut), np.split(z["radius"], cut))
 
 
+def cut(t: Tree, levels: int) -> Tree:
+    """t with its first nets only, and all vectors below the last of these."""
+    if levels == len(t.n):
+        return t
+    up = np.arange(t.n[-1])
+    for level in range(len(t.n) - 1, levels - 2, -1):
+        up = t.parent[level][up]
+    return replace(t, n=[*t.n[: levels - 1], t.n[-1]], parent=[*t.parent[: levels - 1], up], radius=[*t.radius[: levels - 1], t.radius[-1]])
+
+
 def scaled(x: np.ndarray) -> np.ndarray:
     """In double precision, the largest component 1, so that no square over- or underflows."""
     y = x.astype(np.float64)
@@ -104,6 +117,8 @@ def build(ids: np.ndarray, x: np.ndarray, weight: np.ndarray | None = None) -> T
                 if near[p] > r:
                     order.append(p)
                     np.minimum(near, d[p], out=near)
+        if len(order) > len(ids) / DENSE:
+            break
         n.append(len(order))
     inside = np.zeros(len(ids), bool)
     inside[order] = True
@@ -143,6 +158,8 @@ def _pairwise(a: Tree, b: Tree, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def linked(a: Tree, b: Tree, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) of the pairs with cosine >= threshold in double precision, by dual traversal."""
+    levels = min(len(a.n), len(b.n))
+    a, b = cut(a, levels), cut(b, levels)
     near, reach = doubt(a.x.shape[1]), float(np.sqrt(2 - 2 * threshold)) + slack(a.x.shape[1])
     i = j = None
     alive = np.ones((a.n[0], b.n[0]), bool)
@@ -365,12 +382,14 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
 
     pairs, settled, ties = cells.descend(threshold)
     shape, tile_of, chunks, block, tile, held = [], [], {}, 0, 0, 0
+    few = sum(cells.size[c] for c in cells.leaves()) // math.isqrt(8 * spark.sparkContext.defaultParallelism)
+    tile_rows = max(BLOCK, min(TILE, few))  # small tables: so many tiles that all cores have pairs of them
     for c in cells.leaves():
         n = -(-cells.size[c] // block_size(cells.d[c]))
         chunks[c] = range(block, block + n)
         for _ in range(n):
             size = cells.size[c] // n * BLOCK // block_size(cells.d[c])
-            if held and held + size > TILE:
+            if held and held + size > tile_rows:
                 tile, held = tile + 1, 0
             tile_of.append(tile)
             held += size
@@ -413,7 +432,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
                     if p in packed and q in packed:
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in summary(open_(p), open_(q), p == q, threshold)], ["id", "n", "least"])
 
-    found = written(both.mapInArrow(compare, "id long, n long, least long"), "found")
+    with settings(spark, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "2m"}):  # a pair of tiles is much work for its bytes
+        found = written(both.mapInArrow(compare, "id long, n long, least long"), "found")
     known = spark.createDataFrame([(c, *x) for c, x in settled.items()], "cell int, more long, reach long, own boolean")
     inside = placed.select("id", "w", "cell").join(F.broadcast(known), "cell", "left")
     inside = written(inside.select("id", "w", "reach", (F.coalesce("more", F.lit(0)) - F.when(F.col("own"), F.col("w")).otherwise(0)).alias("more")), "inside")
