@@ -117,6 +117,14 @@ def entropy_bits(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return n.groupBy(*keys).agg((-F.sum(F.col("p") * F.log2("p"))).alias("entropy"))
 
 
+def text_entropy_bits(text: Column) -> Column:
+    """Shannon entropy of a text's characters, with p = n / (total + 1e-8), on the row: nothing is exploded or shuffled. Null for null and empty texts."""
+    total = F.length(text)
+    chars = F.array_distinct(F.filter(F.split(text, ""), lambda x: x != ""))
+    share = F.transform(chars, lambda c: (total - F.length(F.replace(text, c, F.lit("")))) / (total + 1e-8))
+    return F.when(total > 0, -F.aggregate(share, F.lit(0.0), lambda a, p: a + p * F.log2(p)))
+
+
 def histogram_peak(df: DataFrame, keys: list[str], value: Column, bins: int = 50) -> DataFrame:
     """The middle of the fullest of equal bins over [0, 1] for each key, the first of equals."""
     n = df.withColumn("_bin", F.least(F.floor(value * bins), F.lit(bins - 1))).groupBy(*keys, "_bin").agg(F.count("*").alias("n"))

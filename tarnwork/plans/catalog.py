@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.functions import calendar, stats, text
-from tarnwork.operators import models, quality, relational, splits, timeseries
+from tarnwork.operators import guards, models, quality, relational, splits, timeseries
 from tarnwork.operators.guards import one_to_one
 from tarnwork.operators.vision import bounding_box
-from tarnwork.sources import rest, sinks
+from tarnwork.plans import pipeline
+from tarnwork.sources import readers, rest, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -389,19 +390,23 @@ def random_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.random_holdout(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 0.25, 3)
 
 
-@query("""
+REFERENCES = """
 with q as (select o_orderpriority, unnest([{'variant': 'p05', 'quantile': 0.05::double}, {'variant': 'p50', 'quantile': 0.5::double}, {'variant': 'p95', 'quantile': 0.95::double}]) as v,
     unnest(quantile_cont(o_totalprice, [0.05, 0.5, 0.95])) as target from orders group by 1)
 select o_orderpriority, v.variant as variant, v.quantile as quantile, round(target, 6) as target, o_orderkey, o_orderdate, o_totalprice from q join orders using (o_orderpriority)
 qualify row_number() over (partition by o_orderpriority, v.variant order by abs(o_totalprice - q.target), o_orderdate, o_orderkey) = 1
-""")
+"""
+
+
+@query(REFERENCES)
 def reference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_orderdate", "o_totalprice")
     out = splits.nearest_to_quantiles(orders, ["o_orderpriority"], "o_totalprice", ["o_orderdate", "o_orderkey"], {"p05": 0.05, "p50": 0.5, "p95": 0.95})
     return out.withColumn("target", F.round("target", 6))
 
 
-@query()
+@query(f"""with r as ({REFERENCES}) select o_orderkey, variant, o_orderpriority || '_' || variant || '__target_' || round(target, 3)::varchar || '__actual_' || round(o_totalprice, 3)::varchar || '__' ||
+    strftime(o_orderdate, '%Y-%m-%dT%H-%M-%SZ') || '.jpg' as reference_name, o_orderpriority || '_' || variant || '.json' as roi_name from r""")
 def reference_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = reference_rows(spark, sf_dir).withColumns({"image_path": F.concat(F.lit("a/"), F.col("o_orderkey").cast("string"), F.lit(".JPG")), "image_time": calendar.iso_z(F.col("o_orderdate"))})
     return sinks.reference_names(out, "o_orderpriority", "o_totalprice").select("o_orderkey", "variant", "reference_name", "roi_name")
@@ -475,8 +480,7 @@ with c as (select doc_id, unnest(string_split(text, '')) as ch from documents),
 p as (select doc_id, n / (sum(n) over (partition by doc_id) + 1e-8::double) as p from n) select doc_id, round(-sum(p * log2(p)), 6) as entropy from p group by 1
 """)
 def entropy_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chars = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.filter(F.split("text", ""), lambda x: x != "")).alias("ch"))
-    return stats.entropy_bits(chars, ["doc_id"], "ch").withColumn("entropy", F.round("entropy", 6))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(stats.text_entropy_bits(F.col("text")), 6).alias("entropy"))
 
 
 @query("""
@@ -583,6 +587,170 @@ def site_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_name", text.crc(F.col("n_name")).alias("crc"))
 
 
+# --- compositions and readers --------------------------------------------------------------------------------------------
+
+
+def camera_sites(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Users as cameras with a gauge each: clicks are images, views are readings."""
+    clicks, views = clicks_views(spark, sf_dir)
+    name = F.col("user_id").cast("string")
+    sites = table(spark, sf_dir, "events").select(F.concat(F.lit("g"), name).alias("river_group"), F.concat(F.lit("s"), name).alias("site_folder"), name.alias("cam_id"), F.concat(F.lit("n"), name).alias("nwis_id")).distinct()
+    images = clicks.select(name.alias("cam_id"), F.col("ts").alias("image_time"), F.col("event_id"))
+    readings = views.select(F.concat(F.lit("n"), name).alias("nwis_id"), F.col("view_ts").alias("time"), F.col("view_value").alias("discharge"))
+    return pipeline.prepare(sites, images, readings)
+
+
+@query(INTERPOLATED + """select event_id, 'g' || user_id as river_group, 's' || user_id as site_folder, user_id::varchar as cam_id, 'n' || user_id as nwis_id, ts as image_time, ts as hydro_time, view_value as discharge,
+    gap_prev_min, gap_next_min, valid_interpolation, coalesce(strftime(nearest_time, '%Y-%m-%dT%H:%M:%SZ'), '') as nearest_obs_time from r where valid_interpolation""")
+def prepare_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return camera_sites(spark, sf_dir)["matched"]
+
+
+@query("select 'n' || user_id as nwis_id, min(ts) - interval 2 days as start, max(ts) + interval 2 days as \"end\" from events where event_type = 'click' group by 1")
+def prepare_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return camera_sites(spark, sf_dir)["windows"]
+
+
+DATASET = """
+with c as (select event_id, user_id, ts from events where event_type = 'click'),
+v as (select user_id, ts as view_ts, value as view_value from events where event_type = 'view'),
+p as (select c.*, v.view_ts as pt, v.view_value as pv from c asof left join v on c.user_id = v.user_id and c.ts >= v.view_ts),
+n as (select c.event_id, v.view_ts as nt, v.view_value as nv from c asof left join v on c.user_id = v.user_id and c.ts <= v.view_ts),
+g as (select p.*, n.nt, n.nv, epoch_us(ts) - epoch_us(pt) as gp, epoch_us(nt) - epoch_us(ts) as gn from p join n using (event_id)),
+m as (select event_id, user_id, ts, case when gp <= 1800000000 and (gn is null or gn > 1800000000 or gp <= gn) then pv when gn <= 1800000000 then nv end as discharge,
+    case when gp <= 1800000000 and (gn is null or gn > 1800000000 or gp <= gn) then pt when gn <= 1800000000 then nt end as hydro_time from g)
+"""
+
+
+def dataset_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    clicks, views = clicks_views(spark, sf_dir)
+    site = F.col("user_id").cast("string").alias("site_id")
+    images = clicks.select(site, F.concat(F.lit("i/"), "event_id").alias("image_path"), F.col("ts").alias("image_time"), F.year("ts").alias("year"), F.month("ts").alias("month"))
+    labels = views.select(site, F.col("view_ts").alias("time"), F.col("view_value").alias("discharge"), (F.col("view_value") / 10).alias("gauge_height"))
+    return pipeline.build_dataset(images, labels, ["site_id"])
+
+
+@query(DATASET + "select user_id::varchar as site_id, 'i/' || event_id as image_path, ts as image_time, year(ts) as year, month(ts) as month, hydro_time, discharge, discharge / 10 as gauge_height from m where discharge is not null")
+def build_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset_parts(spark, sf_dir)[0]
+
+
+@query(DATASET + "select user_id::varchar as site_id, 'i/' || event_id as image_path from m where discharge is null")
+def build_dataset_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset_parts(spark, sf_dir)[1].select("site_id", "image_path")
+
+
+@query("select n_name as site_id, null as variant, n_nationkey as n from nation union all select r_name, 'p05', r_regionkey from region")
+def build_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation").select(F.col("n_name").alias("site_id"), F.col("n_nationkey").alias("n"))
+    return pipeline.build_sites([nation, table(spark, sf_dir, "region").select(F.col("r_name").alias("site_id"), F.lit("p05").alias("variant"), F.col("r_regionkey").alias("n"))])
+
+
+def origin_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long readings: views are discharge, signups gauge heights, under two codes each."""
+    code = F.when(F.col("event_type") == "view", F.when(F.col("event_id") % 2 == 0, "00060").otherwise("60")).otherwise("00065")
+    events = table(spark, sf_dir, "events").where("event_type in ('view', 'signup')")
+    return events.select(F.col("user_id").alias("site_no"), F.col("ts").alias("datetime_utc"), code.alias("variable_cd"), F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("value"))
+
+
+@query("select user_id as site_no, ts as time, value as discharge from events where event_type = 'view' and event_id % 5 <> 0")
+def wide_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.wide_readings(origin_rows(spark, sf_dir), ["site_no"])
+
+
+@query("""select user_id as site_no, count(*) filter (where event_type = 'view' and event_id % 2 = 0) as n_padded, count(*) filter (where event_type = 'signup') as n_height,
+    bool_or(event_type = 'view') as has_discharge from events where event_type in ('view', 'signup') group by 1""")
+def hydro_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("counts")
+    out = pipeline.hydro_summary(origin_rows(spark, sf_dir))
+    return out.select("site_no", F.coalesce(n["00060"], F.lit(0)).alias("n_padded"), F.coalesce(n["00065"], F.lit(0)).alias("n_height"), "has_discharge")
+
+
+@query("select date_trunc('second', ts) as time, value as discharge, null::double as gauge_height from events where event_id % 3 <> 0 and event_id % 4 <> 0")
+def hydro_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings as text, some without a time, some without a number."""
+    iso = F.when(F.col("event_id") % 3 != 0, calendar.iso_z(F.col("ts"))).otherwise("never")
+    number = F.when(F.col("event_id") % 4 != 0, F.col("value").cast("string")).otherwise("Ice")
+    return readers.hydro_table(table(spark, sf_dir, "events").select(iso.alias("datetime_utc"), number.alias("discharge")))
+
+
+@query("""select o_orderkey || '.jpg' as filename, o_orderdate as image_time, o_orderdate as hydro_time, o_totalprice as discharge, o_custkey::double as gauge_height from orders where o_orderkey % 6 <> 0""")
+def direct_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels for each image, as text, with paths in place of names and some without a number."""
+    iso = calendar.iso_z(F.col("o_orderdate"))
+    number = F.when(F.col("o_orderkey") % 6 != 0, F.col("o_totalprice").cast("string")).otherwise("")
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("a/b/"), "o_orderkey", F.lit(".jpg")).alias("path"), iso.alias("image_time"), iso.alias("hydro_time"), number.alias("discharge"), F.col("o_custkey").cast("string").alias("gauge_height"))
+    return readers.direct_labels(rows)
+
+
+FEATURES = """
+with f as (select o_orderkey, case when o_orderkey % 5 = 0 then -999999.0 when o_orderkey % 7 <> 0 then o_totalprice end::double as discharge, case o_orderkey % 3 when 0 then 'train' when 1 then 'test' else 'val' end as split, year(o_orderdate) as year from orders)
+select *, case when discharge > -1 then round(ln(1 + discharge), 9) end as log_discharge from f where discharge is not null
+"""
+
+
+def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    value = F.when(k % 5 == 0, "-999999.0").when(k % 7 != 0, F.col("o_totalprice").cast("string")).otherwise("Eqp")
+    split = F.when(k % 3 == 0, " Train").when(k % 3 == 1, "TEST ").otherwise("val")
+    return table(spark, sf_dir, "orders").select("o_orderkey", value.alias("discharge"), split.alias("split"), F.year("o_orderdate").alias("year"))
+
+
+@query(FEATURES + "and discharge <> -999999 and year in (1996, 1998)")
+def features_of_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.features(feature_rows(spark, sf_dir), years=(1996, 1998)).withColumn("log_discharge", F.round("log_discharge", 9))
+
+
+@query(FEATURES)
+def features_with_sentinel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.features(feature_rows(spark, sf_dir), drop_sentinel=False).withColumn("log_discharge", F.round("log_discharge", 9))
+
+
+@query("select vec_id, label, " + ", ".join(f"embedding[{i + 1}] as emb_{i:03d}" for i in range(64)) + " from embeddings")
+def vector_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as columns, as one vector, and as columns again."""
+    wide = guards.as_columns(table(spark, sf_dir, "embeddings"), "embedding", 64)
+    return guards.as_columns(guards.as_vector(wide), "embedding", 64)
+
+
+@query("select l_orderkey, l_linenumber, l_returnflag from lineitem")
+def without_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guards.without_quality(measured(spark, sf_dir))
+
+
+@query("select 'first' as first, o_custkey as cust, o_orderkey as key from orders")
+def ordered_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Optional columns that are there come first; columns are renamed; the first known name is taken."""
+    orders = table(spark, sf_dir, "orders").withColumn("first", F.lit("first")).withColumnsRenamed({"o_custkey": "cust", "o_orderkey": "key"})
+    return guards.ordered(orders, ("absent", "first"), (guards.first_column(orders, ("nothing", "cust", "key")), "key"))
+
+
+@query("select count(*) filter (where o_orderpriority = '1-URGENT') / greatest(1, count(*)) as keep_ratio, o_orderstatus from orders group by o_orderstatus")
+def keep_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("k"), F.count("*").alias("n"))
+    return orders.select("o_orderstatus", stats.keep_ratio(F.col("k"), F.col("n")).alias("keep_ratio"))
+
+
+@query("select o_orderkey, case o_orderkey % 3 when 0 then 'train' when 1 then 'val' else 'test' end as split from orders")
+def explicit_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("o_orderkey") % 3 == 0, " TRAIN").when(F.col("o_orderkey") % 3 == 1, "Val ").otherwise("test")
+    return splits.explicit_split(table(spark, sf_dir, "orders").select("o_orderkey", label.alias("split")))
+
+
+@query("select c_nationkey, count(*) as n, any_value(n_regionkey) as n_regionkey from customer join nation on c_nationkey = n_nationkey group by 1")
+def single_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every nation's customers have one region."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    joined = table(spark, sf_dir, "customer").join(nation, "c_nationkey")
+    return guards.single_value(joined, "c_nationkey", "n_regionkey").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.first("n_regionkey").alias("n_regionkey"))
+
+
+@query("select 'images/' || n_name || '.jpg' as image_path, 'out/' || case when n_nationkey % 2 = 0 then 'train' else 'val' end || '/' || n_name || '.jpg' as link_path from nation")
+def split_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("images/"), "n_name", F.lit(".jpg")).alias("image_path"), F.when(F.col("n_nationkey") % 2 == 0, "train").otherwise("val").alias("split"))
+    return sinks.split_links(rows, "out")
+
+
 # --- models (no SQL) -----------------------------------------------------------------------------------------------------
 
 
@@ -608,13 +776,17 @@ def rf_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.forest_baseline(labelled_vectors(spark, sf_dir), ["site_id"])
 
 
-@query()
-def image_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small pictures made of part numbers, measured; every tenth has broken bytes."""
-    from tarnwork.operators.pixels import image_metrics as measure
-
+def image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small pictures made of part numbers; every tenth has broken bytes."""
     side = F.expr("transform(sequence(0, 16 * 16 * 3 - 1), i -> pmod(xxhash64(p_partkey, i), 256))")
     data = F.unhex(F.array_join(F.transform(side, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
     size = F.when(F.col("p_partkey") % 10 == 0, 17).otherwise(16)
     image = F.struct(F.concat(F.lit("p/"), F.col("p_partkey").cast("string")).alias("origin"), size.alias("height"), F.lit(16).alias("width"), F.lit(3).alias("nChannels"), data.alias("data"))
-    return measure(table(spark, sf_dir, "part").select(image.alias("image")))
+    return table(spark, sf_dir, "part").select(image.alias("image"))
+
+
+@query()
+def image_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnwork.operators.pixels import image_metrics as measure
+
+    return measure(image_rows(spark, sf_dir))
