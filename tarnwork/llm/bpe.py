@@ -5,7 +5,8 @@ length bucket; a round looks every neighbouring pair up in an open-addressing ha
 rank of each row, and closes the gap. Rows without a mergeable pair leave the matrix. Pieces are remembered by the worker,
 within a bound, so frequent ones are merged once.
 
-Null text counts as empty and gives no ids. Repeated rows give repeated results. Texts are never cut: their length only
+Null text counts as empty and gives no ids. Repeated rows give repeated results, rows without an id are encoded like others, an
+empty table gives an empty one, and other columns, whatever their names, are not read. Texts are never cut: their length only
 decides how many share a step. Ids that the vocabulary does not have make decoding fail.
 """
 

@@ -2,12 +2,13 @@
 
 A text's letters, lower-cased, form words; a word's character n-grams with its boundaries are hashed to rows of an embedding
 table; the average of a text's rows goes through a linear layer and a softmax. Training takes windows of words from a bounded
-sample of labelled rows (MAX_ROWS for each language, texts up to MAX_CHARS), with a part held back to fit a temperature, so
+sample of labelled rows (MAX_ROWS for each language; of a longer text a stretch of MAX_CHARS at a place drawn by a hash), with a part held back to fit a temperature, so
 that scores are calibrated, and the score under which a prediction counts as rejected. As all is linear up to the softmax,
 prediction folds table and layer into one row of logits for each hash, and sums whole texts.
 
 A text that is null or has no letter gets `und` with score 0, and so does every text if nothing could be learned. Repeated
-rows, ties and other columns have no influence; equal scores go to the language that sorts first.
+rows are learned from once, and other columns, whatever their names, have no influence; equal scores go to the language that sorts
+first. Rows without an id are not held out. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -139,12 +140,15 @@ def train(texts: list[str], labels: list[str], seed: int = SEED) -> Model:
 
 def sample(labelled: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> tuple[list[str], list[str]]:
     """Texts and languages of at most max_rows rows (id, text, lang) of each language, chosen by a hash of the id."""
-    fit = labelled.where(F.col("lang").isNotNull() & (F.length("text") <= max_chars)).withColumn("draw", F.pmod(F.xxhash64("id"), F.lit(1 << 30)))
+    room = F.greatest(F.length("text") - max_chars, F.lit(0)) + 1
+    stretch = F.substring("text", F.pmod(F.xxhash64("id", F.lit(1)), room).cast("int") + 1, F.lit(max_chars))
+    fit = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("draw", F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(1 << 30)))
     share = {r["lang"]: min(1.0, 1.2 * max_rows / r["count"]) for r in fit.groupBy("lang").count().collect()}
     if not share:
         return [], []
     under = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(int(v * (1 << 30)))) for k, v in share.items()))
-    rows = sorted(fit.where(F.col("draw") < under[F.col("lang")]).select("lang", "draw", "id", "text").collect())
+    drawn = fit.where(F.col("draw") < under[F.col("lang")]).select("lang", "draw", "id", stretch.alias("text")).distinct()  # combined before the shuffle
+    rows = sorted(drawn.collect(), key=lambda r: (r["lang"], r["draw"], r["id"] is not None, r["id"] or 0, r["text"]))
     kept = [r for _, own in itertools.groupby(rows, key=lambda r: r["lang"]) for r in itertools.islice(own, max_rows)]
     return [r["text"] for r in kept], [r["lang"] for r in kept]
 

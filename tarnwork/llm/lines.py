@@ -7,7 +7,9 @@ threshold, an exact distinct count decides. A line on `min_sites` sites or more
 the smallest id that has it and goes from every other.
 
 Null text stays null and has no lines; empty texts have none either. A null site counts as one site of its own. Rows with the
-same id count as one document. A text that loses all its lines becomes empty; the row stays. Other columns pass through.
+same id count as one document. A row without an id keeps all its lines, which still count for the spread. A text that loses all
+its lines becomes empty; the row stays. An empty table gives an empty one. Other columns pass through, whatever their names. Lines
+are told apart by a hash of 64 bits.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import free_name, written
+from tarnwork.llm.common import discard, free_name, written
 
 MIN_SITES = 10
 #: Estimates within this share of the threshold are counted exactly; 12 index bits have a standard error of 1.6 %.
@@ -44,7 +46,9 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc
     sure, near = sites.where(F.col("sites") > min_sites * (1 + NEAR)), sites.where(F.col("sites") <= min_sites * (1 + NEAR))
     exact = lines.join(near, "key", "left_semi").groupBy("key").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites)
     spread = written(sure.select("key").unionByName(exact.select("key")).join(some, "key"), "boilerplate")
-    return lines.join(spread, "key").where("id != first").groupBy("id").agg(F.collect_set("key").alias("gone")).withColumnRenamed("id", id_col)
+    gone = written(lines.join(spread, "key").where("id != first").groupBy("id").agg(F.collect_set("key").alias("gone")), "gone")
+    discard(lines, some, sites, spread)
+    return gone.withColumnRenamed("id", id_col)
 
 
 def drop_spread_lines(

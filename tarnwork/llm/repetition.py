@@ -6,8 +6,8 @@ from the ranks of the doubling rounds, and the widest LCP interval around a suff
 there and occurs elsewhere in the text. These maximal repeats give the covered words and the longest repeat, on which the
 verdict depends; the three-word windows of the base rule are the repeats of three words or more.
 
-Null and empty texts have no words and fail the base rule. Ties, repeated rows and other columns have no influence: a row's
-result depends on its text alone. Texts are taken whole, whatever their length.
+Null and empty texts have no words and fail the base rule. Ties, repeated rows, rows without an id and other columns (whatever
+their names) have no influence: a row's result depends on its text alone. An empty table gives an empty one. Texts are taken whole, whatever their length.
 """
 
 from __future__ import annotations
