@@ -46,9 +46,8 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc
     sure, near = sites.where(F.col("sites") > min_sites * (1 + NEAR)), sites.where(F.col("sites") <= min_sites * (1 + NEAR))
     exact = lines.join(near, "key", "left_semi").groupBy("key").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites)
     spread = written(sure.select("key").unionByName(exact.select("key")).join(some, "key"), "boilerplate")
-    gone = written(lines.join(spread, "key").where("id != first").groupBy("id").agg(F.collect_set("key").alias("gone")), "gone")
-    discard(lines, some, sites, spread)
-    return gone.withColumnRenamed("id", id_col)
+    discard(some, sites)
+    return lines.join(spread, "key").where("id != first").groupBy("id").agg(F.collect_set("key").alias("gone")).withColumnRenamed("id", id_col)
 
 
 def drop_spread_lines(
