@@ -28,10 +28,9 @@ def prepare_data(spark: SparkSession, a) -> None:
     p = paths(a.output_root)
     sites = readers.site_list(spark, a.site_csv or p["site_list"], a.only_cam_id, a.only_river_group)
     if a.listing_url:
-        listed = []
-        for r in sites.select("cam_id").distinct().collect():  # one request list for each camera; requests run on executors
-            listed.append(rest.listed_images(rest.pages(spark, a.listing_url.format(cam_id=r.cam_id), r.cam_id, limit=a.limit), a.image_url))
-        listing = pipeline.build_sites(listed)
+        asked = rest.listing(sites.select("cam_id"), a.camera_url, a.listing_url, a.limit)
+        sinks.write_table(rest.listed_images(asked, a.image_url), f"{p['images']}_listing")
+        listing = spark.read.parquet(f"{p['images']}_listing")
         if a.skip_download:
             manifest = listing.withColumn("image_time", F.col("timestamp_utc"))
         else:
@@ -39,11 +38,24 @@ def prepare_data(spark: SparkSession, a) -> None:
             sinks.write_table(failed, f"{p['images']}_failed")
     else:
         manifest = spark.read.parquet(f"{p['images']}_manifest")
+    if a.gauge_url:
+        windows = pipeline.request_windows(sites, manifest, a.hydro_buffer_days)
+        origin = rest.gauge_readings(rest.gauge_payloads(windows, a.gauge_url), "nwis_iv", gauge="nwis_id")
+        sinks.write_table(origin, f"{p['readings']}_origin")
+        origin = spark.read.parquet(f"{p['readings']}_origin")
+        sinks.write_table(pipeline.wide_readings(origin, ["nwis_id"]), p["readings"])
+        sinks.write_table(pipeline.hydro_summary(origin), f"{p['readings']}_summary")
     out = pipeline.prepare(sites, manifest, spark.read.parquet(p["readings"]), a.hydro_buffer_days, a.max_gap_minutes)
     for name, df in out.items():
         sinks.write_table(df, f"{p['matched']}_{name}")
 
 
+def show_tasks(tasks) -> None:
+    """Prints every task as a line of JSON."""
+    for line in tasks.toJSON().toLocalIterator():
+        print(line)
+
+
 def filter_images(spark: SparkSession, a) -> None:
     p = paths(a.output_root)
     matched = spark.read.parquet(f"{p['matched']}_matched")
@@ -74,7 +86,7 @@ def run_variants(spark: SparkSession, a) -> None:
     tasks = relational.task_indexed(tasks, "site_id", "variant")
     tasks = tasks.where(F.col("task_index") == a.task_index) if a.task_index is not None else tasks
     if a.list_tasks or a.dry_run:
-        tasks.show(1000, truncate=False)
+        show_tasks(tasks.orderBy("task_index"))
         return
     features = spark.read.parquet(p["features"]).join(tasks.select("site_id", "variant"), ["site_id", "variant"], "left_semi")
     for name, df in pipeline.evaluate(features, ["site_id", "variant"], **json.loads(a.settings)).items():
@@ -83,7 +95,11 @@ def run_variants(spark: SparkSession, a) -> None:
 
 def run_baselines(spark: SparkSession, a) -> None:
     p = paths(a.output_root)
-    for name, df in pipeline.baselines(readers.features(spark.read.parquet(p["features"]), drop_sentinel=False), ["site_id", "variant"]).items():
+    features = readers.features(spark.read.parquet(p["features"]), drop_sentinel=False)
+    if a.list_tasks:
+        show_tasks(features.select("site_id", "variant").distinct().orderBy("site_id", "variant"))
+        return
+    for name, df in pipeline.baselines(features, ["site_id", "variant"]).items():
         sinks.write_table(df, f"{p['results']}/baseline_{name}")
 
 
@@ -102,7 +118,7 @@ def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tarnwork")
     commands = parser.add_subparsers(dest="command", required=True)
     options = {
-        prepare_data: {"site-csv": None, "limit": 50000, "hydro-buffer-days": 2, "max-gap-minutes": 90.0, "only-cam-id": None, "only-river-group": None, "skip-download": False, "listing-url": None, "image-url": ""},
+        prepare_data: {"site-csv": None, "limit": 50000, "hydro-buffer-days": 2, "max-gap-minutes": 90.0, "only-cam-id": None, "only-river-group": None, "skip-download": False, "listing-url": None, "camera-url": None, "image-url": "", "gauge-url": None},
         filter_images: {"test-water-year": 2025, "fallback-val-ratio": 0.2, "min-images-per-water-year": 1, "day-start": 8.0, "day-end": 18.5, "rough-year-min-months": 10, "seed": 42, "site-name": [], "activate-filtered": False, "strict": False, "limits": "{}"},
         select_references: {"site-dir": [], "overwrite": False},
         run_variants: {"site-list-csv": None, "site-id": [], "variant": [], "task-index": 0, "list-tasks": False, "dry-run": False, "settings": "{}"},

@@ -32,13 +32,22 @@ def hydro_summary(origin: DataFrame, site: str = "site_no") -> DataFrame:
     return n.groupBy(site).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("variable_cd", "n")))).alias("counts"), F.max(F.col("variable_cd").isin(list(CODES))).alias("has_discharge"))
 
 
+def placed_images(sites: DataFrame, images: DataFrame) -> DataFrame:
+    own = single_value(sites, "river_group", "nwis_id").select("river_group", "site_folder", "cam_id", "nwis_id")
+    return images.join(own, "cam_id")
+
+
+def request_windows(sites: DataFrame, images: DataFrame, buffer_days: int = 2) -> DataFrame:
+    """Of each gauge, the span to ask for: that of all images of its cameras, with days to spare."""
+    return timeseries.request_window(placed_images(sites, images), ["nwis_id"], "image_time", buffer_days)
+
+
 def prepare(sites: DataFrame, images: DataFrame, readings: DataFrame, buffer_days: int = 2, max_gap_minutes: float = 90.0) -> dict[str, DataFrame]:
     """windows (what to ask the gauges for), matched_all and matched of all cameras. Cameras of a river group share one gauge.
 
     sites: river_group, site_folder, cam_id, nwis_id. images: cam_id, image_time and more. readings: nwis_id, time, discharge.
     """
-    own = single_value(sites, "river_group", "nwis_id").select("river_group", "site_folder", "cam_id", "nwis_id")
-    placed = images.join(own, "cam_id")
+    placed = placed_images(sites, images)
     windows = timeseries.request_window(placed, ["nwis_id"], "image_time", buffer_days)
     matched = timeseries.align_images(placed, readings, ["nwis_id"], max_gap_minutes)
     return {"windows": windows, "matched_all": matched, "matched": timeseries.valid_matches(matched)}

@@ -1,11 +1,14 @@
+import json
 import struct
 import zlib
+from datetime import datetime
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tarnwork.operators import pixels, quality, vision
+from tarnwork.plans import pipeline
 from tarnwork.sources import readers, rest, sinks
 
 
@@ -110,6 +113,45 @@ def test_rest_windows_and_downloads(spark, tmp_path):
     assert [r.downloaded_now for r in again.collect()] == [False]
 
 
+def test_listing_goes_by_month_where_the_whole_list_may_be_cut(spark, tmp_path):
+    name = "c___2024-{:02d}-{:02d}T00-00-00Z.jpg".format
+    answers = {"a": [name(1, 1), name(1, 2)], "b": [name(1, 1), name(1, 2), name(1, 3)], "c": []}  # b fills the limit, c is empty, d fails
+    for cam in "abcd":
+        (tmp_path / f"camera-{cam}.json").write_text(json.dumps([{"createdDate": "2024-01-15T00:00:00Z", "newestImageDT": "2024-01-20T00:00:00Z"}]))
+        for m in (1, 2):
+            (tmp_path / f"list-{cam}-2024-{m:02d}-01T00-00-00Z.json").write_text(json.dumps({"items": [name(m, 1), name(m, 2)]}))
+        if cam in answers:
+            (tmp_path / f"list-{cam}-.json").write_text(json.dumps({"items": answers[cam]}))
+
+    def get(url, params=None, **_):
+        what = "camera" if url == "camera" else "list"
+        end = f"-{params.get('after', '')}" if what == "list" else ""
+        return (tmp_path / f"{what}-{params['camId']}{end}.json").read_bytes()
+
+    cameras = spark.createDataFrame([(c,) for c in "abcd"] + [("a",)], "cam_id string")
+    real, rest.get = rest.get, get
+    try:
+        asked = rest.listing(cameras, "camera", "list", limit=3, parallel=2, pause=0)
+        found = {(r.cam_id, r.source_filename) for r in rest.listed_images(asked, "s").collect()}
+        assert found == {(c, name(m, d)) for c in "abcd" for m in ((1,) if c == "a" else (1, 2)) for d in (1, 2)}
+    finally:
+        rest.get = real
+    with pytest.raises(Exception, match="limit"):
+        rest.pages(spark, "x", limit=3).collect()
+
+
+def test_gauges_are_asked_for_their_windows(spark, tmp_path):
+    series = {"variable": {"variableCode": [{"value": "00060"}]}, "values": [{"value": [{"dateTime": "2024-01-01T00:00:00Z", "value": "5"}, {"dateTime": "2024-01-01T00:00:00Z", "value": "x"}]}]}
+    for g in ("01", "02"):
+        (tmp_path / f"{g}-2023-12-30T00:00:00Z.json").write_text(json.dumps({"value": {"timeSeries": [series] if g == "01" else []}}))
+    sites = spark.createDataFrame([("g", "s", "c", "01"), ("h", "t", "e", "02")], "river_group string, site_folder string, cam_id string, nwis_id string")
+    images = spark.createDataFrame([("c", datetime(2024, 1, 1)), ("e", datetime(2024, 1, 1))], "cam_id string, image_time timestamp_ntz")
+    windows = pipeline.request_windows(sites, images, 2)
+    got = rest.gauge_payloads(windows, str(tmp_path / "{sites}-{startDT}.json"), parallel=2)
+    rows = pipeline.wide_readings(rest.gauge_readings(got, "t", gauge="nwis_id"), ["nwis_id"]).collect()
+    assert [(r.nwis_id, r.time, r.discharge) for r in rows] == [("01", datetime(2024, 1, 1), 5.0)]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", "Train "), ("b", "val"), ("c", "test")], "image_path string, split string")
     assert {r.split: r["count"] for r in sinks.write_splits(df, str(tmp_path / "s")).collect()} == {"train_pool": 1, "val": 1, "test": 1}
