@@ -28,6 +28,8 @@ def prepare_data(spark: SparkSession, a) -> None:
     p = paths(a.output_root)
     sites = readers.site_list(spark, a.site_csv or p["site_list"], a.only_cam_id, a.only_river_group)
     if a.listing_url:
+        if not a.camera_url:
+            raise SystemExit("--listing-url needs --camera-url, which tells from when on to list")
         asked = rest.listing(sites.select("cam_id"), a.camera_url, a.listing_url, a.limit)
         sinks.write_table(rest.listed_images(asked, a.image_url), f"{p['images']}_listing")
         listing = spark.read.parquet(f"{p['images']}_listing")
