@@ -5,20 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwork.functions.quantiles import exact_quantiles
+
 
 def quantile(x: Column, q: float) -> Column:
-    """Linear between order statistics; nulls and NaN do not count."""
+    """Linear between order statistics; nulls and NaN do not count. An aggregate that holds its group; large groups go through exact_quantiles()."""
     return F.percentile(F.when(~F.isnan(x), x), q)
 
 
 def adaptive_floor(x: Column, floor: float, q: float, factor: float = 1.0) -> Column:
     """The larger of a floor and a multiple of a quantile; the floor if there are no values."""
-    return F.greatest(F.lit(float(floor)), quantile(x, q) * float(factor))
+    return floor_of(quantile(x, q), floor, factor)
+
+
+def floor_of(value: Column, floor: float, factor: float = 1.0) -> Column:
+    return F.greatest(F.lit(float(floor)), value * float(factor))
 
 
 def adaptive_band(x: Column, least: float, most: float, q: float) -> Column:
     """The quantile held between least and most; most if there are no values."""
-    return F.greatest(F.lit(float(least)), F.least(F.lit(float(most)), quantile(x, q)))
+    return band_of(quantile(x, q), least, most)
+
+
+def band_of(value: Column, least: float, most: float) -> Column:
+    return F.greatest(F.lit(float(least)), F.least(F.lit(float(most)), value))
 
 
 def keep_ratio(kept: Column, n: Column) -> Column:
@@ -93,8 +103,9 @@ def dimensions(df: DataFrame, vector: str, *keep: str) -> DataFrame:
 
 def robust_scaler(train: DataFrame, vector: str) -> DataFrame:
     """(dim, center, scale): median and interquartile range, 1 where that is 0."""
-    iqr = F.percentile("x", 0.75) - F.percentile("x", 0.25)
-    return dimensions(train, vector).groupBy("dim").agg(F.percentile("x", 0.5).alias("center"), F.when(iqr == 0, 1.0).otherwise(iqr).alias("scale"))
+    found = exact_quantiles(dimensions(train, vector), ["dim"], {"q1": (F.col("x"), 0.25), "center": (F.col("x"), 0.5), "q3": (F.col("x"), 0.75)}, few=True)
+    iqr = F.col("q3") - F.col("q1")
+    return found.select("dim", "center", F.when(iqr == 0, 1.0).otherwise(iqr).alias("scale"))
 
 
 def standard_scaler(train: DataFrame, vector: str) -> DataFrame:

@@ -6,10 +6,13 @@ by an MD5 of seed, site, stratum and row key, so membership is stable under any
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.functions.calendar import hydro_season, water_month, water_year
+from tarnwork.functions.quantiles import exact_quantiles
 from tarnwork.functions.stats import holdout_size
 from tarnwork.operators.guards import require_classes
 
@@ -32,11 +35,26 @@ def _rank(seed: int, *parts: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]))
 
 
+def first_rows(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], size: Callable[[Column], Column], out: str, descending: bool = False) -> DataFrame:
+    """Marks the first size(n) of the n rows of each key, in an order that `bucket` is a coarse part of.
+
+    Rows are counted by key and bucket, which tells of each bucket how many of its rows are among the first; rows are then
+    ranked inside their bucket only, so that a key is never sorted in one task.
+    """
+    df = df.withColumn("_slot", F.struct(bucket.alias("_bucket"), *keys))  # fields that are null are equal in a struct
+    counts = df.groupBy("_slot").agg(F.count("*").alias("_c"))
+    whole = Window.partitionBy(*[F.col("_slot")[k] for k in keys])
+    by = F.col("_slot._bucket")
+    before = F.sum("_c").over(whole.orderBy(by.desc() if descending else by)) - F.col("_c")
+    takes = counts.select(F.col("_slot").alias("_of"), (size(F.sum("_c").over(whole)) - before).alias("_takes"))
+    place = F.row_number().over(Window.partitionBy("_slot").orderBy(*order))
+    return df.join(takes, F.col("_slot") == F.col("_of")).withColumn(out, place <= F.col("_takes")).drop("_slot", "_of", "_takes")
+
+
 def stratified_holdout(df: DataFrame, strata: list[str], key: str, ratio: float, seed: int = 42, out: str = "is_val") -> DataFrame:
     """Marks round-half-even(n * ratio) rows of each stratum (at least 1 and at most n - 1 from two rows on), the first by hash."""
-    whole = Window.partitionBy(*strata)
-    place = F.row_number().over(whole.orderBy(_rank(seed, *[F.col(c) for c in strata], F.col(key)), F.col(key)))
-    return df.withColumn(out, place <= holdout_size(F.count("*").over(whole), ratio))
+    rank = _rank(seed, *[F.col(c) for c in strata], F.col(key))
+    return first_rows(df, strata, F.substring(rank, 1, 3), [rank, F.col(key)], lambda n: holdout_size(n, ratio), out)
 
 
 def random_holdout(df: DataFrame, key: str, ratio: float, seed: int) -> DataFrame:
@@ -93,9 +111,8 @@ def strict_year_split(df: DataFrame, site: list[str], time: str, key: str, test_
 
 def tail_holdout(df: DataFrame, keys: list[str], time: str, key: str, ratio: float, out: str = "is_val") -> DataFrame:
     """Marks the last ceil(n * ratio) rows by time of each key, at least one."""
-    whole = Window.partitionBy(*keys)
-    place = F.row_number().over(whole.orderBy(F.col(time).desc(), F.col(key).desc()))
-    return df.withColumn(out, place <= F.greatest(F.lit(1), F.ceil(F.count("*").over(whole) * float(ratio))))
+    order = [F.col(time).desc(), F.col(key).desc()]
+    return first_rows(df, keys, F.to_date(time), order, lambda n: F.greatest(F.lit(1), F.ceil(n * float(ratio))), out, descending=True)
 
 
 def explicit_split(df: DataFrame, column: str = "split", check: bool = True) -> DataFrame:
@@ -108,8 +125,8 @@ def nearest_to_quantiles(df: DataFrame, groups: list[str], value: str, tie: list
     """Of each group and named quantile, the row whose value is nearest to it (ties: the first by `tie`): variant, quantile, target, and the row's columns."""
     known = df.where(F.col(value).isNotNull())
     names = F.array(*[F.struct(F.lit(k).alias("variant"), F.lit(float(q)).alias("quantile"), F.lit(i).alias("i")) for i, (k, q) in enumerate(quantiles.items())])
-    qs = F.percentile(F.col(value), [float(q) for q in quantiles.values()])
-    targets = known.groupBy(*groups).agg(qs.alias("_q")).withColumn("_v", F.explode(names))
+    found = exact_quantiles(known, groups, {f"_q{i}": (F.col(value), float(q)) for i, q in enumerate(quantiles.values())})
+    targets = found.select(*groups, F.array(*[f"_q{i}" for i in range(len(quantiles))]).alias("_q")).withColumn("_v", F.explode(names))
     targets = targets.select(*groups, "_v.variant", "_v.quantile", F.get("_q", F.col("_v.i")).alias("target"))
     joined = known.join(targets, groups) if groups else known.crossJoin(F.broadcast(targets))  # as many targets as quantiles
     order = F.struct(F.abs(F.col(value) - F.col("target")), *tie)

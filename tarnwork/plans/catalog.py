@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.functions import calendar, stats, text
+from tarnwork.functions.quantiles import exact_quantiles
 from tarnwork.operators import guards, models, quality, relational, splits, timeseries
 from tarnwork.operators.guards import one_to_one
 from tarnwork.operators.vision import bounding_box
@@ -564,7 +565,7 @@ select o_orderkey, round((1 - gate) * low + gate * high, 3) as pred_soft, round(
     round(case when y > t then high else low end, 3) as pred_seg_oracle, round(case when abs(low - y) < abs(high - y) then low else high end, 3) as pred_expert_oracle from x, h""".replace("orders_y", "(select o_totalprice as y from orders)"))
 def moe_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = five_models(spark, sf_dir).groupBy("o_orderkey", "y").agg(F.max(F.when(F.col("k") == 2, F.col("pred"))).alias("low"), F.max(F.when(F.col("k") == 4, F.col("pred"))).alias("high"))
-    limit = table(spark, sf_dir, "orders").agg(F.percentile("o_totalprice", 0.55).alias("t"))
+    limit = exact_quantiles(table(spark, sf_dir, "orders"), [], {"t": (F.col("o_totalprice"), 0.55)})
     made = stats.mixture(F.col("low"), F.col("high"), F.col("o_orderkey") % 10 / 10.0, F.col("y"), F.col("t"))
     out = wide.crossJoin(F.broadcast(limit)).select("o_orderkey", *[v.alias(k) for k, v in made.items()])  # one row on the right
     return out.select("o_orderkey", "seg_pred", "seg_true", *[F.round(c, 3).alias(c) for c in made if c.startswith("pred_")])
