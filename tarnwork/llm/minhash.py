@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import GOLDEN, Words, discard, id_text, mix, per_text, written
+from tarnwork.llm.common import GOLDEN, Words, discard, free_name, id_text, mix, per_text, written
 from tarnwork.llm.graph import components
 
 WORDS, PERCENT = 5, 75
@@ -242,9 +242,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, whose document has the smallest id of its component."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone = written(found.where("not kept").select(F.col(id_col).cast(docs.schema[id_col].dataType).alias("id")).distinct(), "gone")
+    """One row of each component, with all columns: the one of the smallest id. Rows without words or text all stay.
+
+    Where ids are missing or repeated, every row is a document of its own: rows are numbered, the number being their id, and of
+    a component the row of the smallest id stays, a missing id being the last, rows of one id by their number.
+    """
+    ids = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n"))
+    own = id_col
+    if ids.where("id is null or n > 1").limit(1).count():
+        own = free_name(docs, "row")
+        docs = written(docs.withColumn(own, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(docs, own, text_col)
+    if own == id_col:
+        gone = found.where("not kept").select(F.col(own).cast(docs.schema[own].dataType).alias("id"))
+    else:
+        member = written(found.select(F.col(own).alias("id"), "component_id").join(docs.select(F.col(own).alias("id"), F.col(id_col).alias("doc")), "id"), "numbers")
+        first = member.groupBy("component_id").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "id")).alias("first"))
+        gone = member.join(first, "component_id").where("id != first.id").select("id")
+    gone = written(gone, "gone")
+    if own != id_col:
+        discard(member)
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col] == gone["id"], "left_anti")
+    return docs.join(gone, docs[own] == gone["id"], "left_anti").drop(*[own] if own != id_col else [])

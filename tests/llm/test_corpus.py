@@ -364,12 +364,25 @@ def test_pipeline_stage_by_stage(spark, sf):
         stage(spark, odd, sf).collect()
 
 
+def test_one_row_of_repeated_and_nameless_ones_stays(spark):
+    text, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(None, text), (None, text + " x"), (9, text), (9, text), (7, text + " y"), (None, other), (None, other), (3, other + " z"), (3, " ".join("abcdefgh")), (None, None), (5, ""), (5, "")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id int, text string, row int").repartition(4)
+    got = minhash.keep_first(df)
+    assert got.columns == df.columns
+    kept = {r.row for r in got.collect()}
+    assert kept == {4, 7, 8, 9, 10, 11}  # the smallest id of each group, and what has no words
+    same = spark.createDataFrame([(None, text)] * 5, "doc_id long, text string")
+    assert minhash.keep_first(same).count() == 1
+
+
 def test_rows_without_an_id(spark, sf):
     from tarnwork.llm import bpe, langid, records, repetition, secrets
 
     rows = [(None, "a b c d e f", "en", None, 1), (None, "a b c d e f", None, "s", 1), (None, None, None, None, None), (4, "a b c d e f", "en", "s", 1)]
     df = spark.createDataFrame(rows, DOCS)
     assert sorted(map(repr, map(tuple, minhash.near_duplicates(df).collect()))) == sorted(map(repr, [(None, 2, 4, False), (None, 2, 4, False), (None, 0, None, True), (4, 2, 4, True)]))
+    assert sorted(map(repr, minhash.keep_first(df).collect())) == sorted(map(repr, (r for r in df.collect() if r.doc_id == 4 or r.text is None)))
     assert packing.pack_documents(df).count() == lines.drop_spread_lines(df).count() == langid.identify(df).where("not held_out").count() == 4
     assert records.read(records.write(df, queries.tokenizer_path("word_bpe_49k.json"), 2)).where("doc_id is null").count() == 3
     assert bpe.encode(df, queries.tokenizer_path("byte_bpe_multi_50k.tiktoken"), queries.pattern()).count() == repetition.quality(df).count() == secrets.find_secrets(df).count() == 4
