@@ -6,8 +6,8 @@ packed into bins; this last stage returns a row for each piece. Stages 1 to 4 re
 
 Cases that every stage defines: a null or empty text has no words, so stage 1 rejects it; run alone, the other stages keep such a
 row as it is, and stage 5 gives it no bin. A null source counts as one source of its own, a null lang or n_chars is passed on. Rows without an
-id are kept by stages 2 and 3 as they are, and packed like others. Repeated rows count as one document in stages 2 and 3, which keep or drop them
-together. Very long texts are taken whole (stage 5 cuts them into pieces), ties go to the smallest id, an empty table gives an empty
+id are kept by stage 2 as they are and packed like others. Repeated rows count as one document in stage 2. In stage 3, where ids are missing or
+repeated, every row is a document of its own, and of a group of near copies one row stays, a missing id being the last. Very long texts are taken whole (stage 5 cuts them into pieces), ties go to the smallest id, an empty table gives an empty
 one, and further columns pass through stages 1 to 4 whatever their names.
 """
 
