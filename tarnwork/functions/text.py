@@ -26,6 +26,11 @@ def normal_label(x: Column) -> Column:
     return F.lower(F.trim(x.cast("string")))
 
 
+def plain_path(x: Column) -> Column:
+    """A path without the scheme of local files, which Spark's sources write in different ways; other schemes stay."""
+    return F.regexp_replace(x, "^file:/+", "/")
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

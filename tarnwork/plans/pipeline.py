@@ -5,7 +5,7 @@ Every stage is one DataFrame over all sites, keyed by site; nothing loops over s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.functions.calendar import SITE_ZONES, with_local_clock
@@ -15,7 +15,7 @@ from tarnwork.operators import models, quality, relational, splits, timeseries
 from tarnwork.operators.guards import one_to_one, require_columns, require_rows, single_value, without_quality
 from tarnwork.operators.pixels import image_metrics
 from tarnwork.operators.vision import embed, embedder
-from tarnwork.sources.readers import direct_labels, hydro_table
+from tarnwork.sources.readers import by_precedence, direct_labels, hydro_table, labels, split_images
 
 CODES = {"00060": "discharge", "60": "discharge"}
 
@@ -96,12 +96,34 @@ def build_dataset(images: DataFrame, label_table: DataFrame, on: list[str], tole
     return matched.select(*first, "image_path", "image_time", "year", "month", "hydro_time", "discharge", "gauge_height"), unmatched
 
 
-def build_sites(parts: list[DataFrame]) -> DataFrame:
+def build_site(spark: SparkSession, site_dir: str, label_file: str | None, folders: dict[str, str], tolerance_minutes: float = 30.0, roi_path: str | None = None, site_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(manifest, unmatched) of a site whose images lie in a folder for each split; the label file is looked for if not given."""
+    label_file = label_file or by_precedence(spark, site_dir)
+    if not label_file:
+        raise ValueError(f"no label file in {site_dir}")
+    images = split_images(spark, site_dir, folders, roi_path).withColumn("site_id", F.lit(site_id or site_dir.rstrip("/").split("/")[-1]))
+    return build_dataset(images, labels(spark, label_file), [], tolerance_minutes)
+
+
+def variant_manifest(manifest: DataFrame, tasks: DataFrame) -> DataFrame:
+    """The manifest's rows for each task (site_id, variant, roi_path) of their site; every task needs rows of each split."""
+    need = ["image_path", "split", "discharge", "year", "month", "image_time"]
+    require_columns(manifest, ["site_id", *need])
+    own = tasks.select("site_id", "variant", "roi_path")
+    out = manifest.drop("variant", "roi_path").join(own, "site_id")
+    n = out.groupBy("site_id", "variant").agg(*[F.count_if(F.lower(F.trim("split")) == s).alias(s) for s in splits.SPLITS])
+    short = own.join(n, ["site_id", "variant"], "left").where(" or ".join(f"coalesce({s}, 0) = 0" for s in splits.SPLITS)).limit(1).collect()
+    if short:
+        raise ValueError(f"no rows of every split for {short[0].site_id}, {short[0].variant}")
+    return out
+
+
+def build_sites(parts: list[DataFrame], check: bool = True) -> DataFrame:
     """One table of several sites' manifests; columns that a site lacks are null."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    return require_rows(out, "dataset")
+    return require_rows(out, "dataset") if check else out
 
 
 #: Paths up to which their table is broadcast to the pictures (some 200 bytes each); beyond, the pictures are shuffled by path.

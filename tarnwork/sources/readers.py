@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.functions.calendar import stamped_time
-from tarnwork.functions.text import basename, normal_label, to_double, to_time
+from tarnwork.functions.text import basename, normal_label, plain_path, to_double, to_time
 from tarnwork.operators.guards import first_column, require_columns, require_rows
 from tarnwork.operators.timeseries import keep_first, pivot_last
 
@@ -21,9 +21,9 @@ VARIABLES = {"00060": "discharge", "60": "discharge", "00065": "gauge_height", "
 SENTINEL = -999999.0
 
 
-def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A CSV table with a header; without a schema all columns are text. A byte-order mark before the first name is dropped."""
-    out = spark.read.csv(path, header=True, enforceSchema=False, schema=schema) if schema else spark.read.csv(path, header=True)
+def csv(spark: SparkSession, path: str, schema: str | None = None, infer: bool = False) -> DataFrame:
+    """A CSV table with a header; without a schema all columns are text, or, with infer, of the type that all their cells have (a second pass). A byte-order mark before the first name is dropped."""
+    out = spark.read.csv(path, header=True, enforceSchema=False, schema=schema) if schema else spark.read.csv(path, header=True, inferSchema=infer)
     return out.toDF(*[c.lstrip("﻿") for c in out.columns])
 
 
@@ -51,7 +51,7 @@ def files(spark: SparkSession, path: str, extensions: Iterable[str] = IMAGE_EXTE
 
 def timed_images(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     """image_path, filename, image_time, year, month of files whose name has a time stamp, in order of time."""
-    out = files(spark, path).select(F.col("path").alias("image_path"), basename(F.col("path")).alias("filename"), stamped_time(basename(F.col("path"))).alias("image_time"))
+    out = files(spark, path).select(plain_path(F.col("path")).alias("image_path"), basename(F.col("path")).alias("filename"), stamped_time(basename(F.col("path"))).alias("image_time"))
     out = out.where(F.col("image_time").isNotNull()).withColumns({"year": F.year("image_time"), "month": F.month("image_time")})
     return require_rows(out, path) if check else out
 
@@ -125,9 +125,10 @@ def roi(spark: SparkSession, path: str) -> DataFrame:
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
-    """Spark's image source; what can't be decoded keeps its path, with height -1."""
+    """Spark's image source, with paths as timed_images() writes them; what can't be decoded keeps its path, with height -1."""
     names = ",".join(f"*.{e}" for x in IMAGE_EXTENSIONS for e in (x, x.upper()))
-    return spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).option("pathGlobFilter", f"{{{names}}}").load(path)
+    out = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).option("pathGlobFilter", f"{{{names}}}").load(path)
+    return out.withColumn("image", F.col("image").withField("origin", plain_path(F.col("image.origin"))))
 
 
 def features(df: DataFrame, truth: str = "discharge", years: tuple[int, ...] | None = None, drop_sentinel: bool = True) -> DataFrame:

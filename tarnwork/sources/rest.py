@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tarnwork.functions.calendar import camera_time, local_image_name, month_floor, month_windows
-from tarnwork.functions.text import basename, item_name, items_of, qualifiers
+from tarnwork.functions.text import basename, item_name, items_of, plain_path, qualifiers
 from tarnwork.operators.timeseries import keep_first
 
 RETRIES, TIMEOUT, IMAGE_TIMEOUT, CHUNK = 3, 120, 180, 32768
@@ -216,7 +216,7 @@ def download(listing: DataFrame, existing: DataFrame | None, folder: str, parall
     """
     rows = listing.withColumn("filename", local_image_name(F.col("timestamp_utc"))).withColumn("image_path", F.concat_ws("/", F.lit(folder), "cam_id", "filename"))
     if existing is not None:
-        there = existing.where("length > 0").select(F.regexp_replace("path", "^file:/*", "/").alias("image_path")).distinct().withColumn("_there", F.lit(True))
+        there = existing.where("length > 0").select(plain_path(F.col("path")).alias("image_path")).distinct().withColumn("_there", F.lit(True))
         rows = rows.join(there, "image_path", "left")
     else:
         rows = rows.withColumn("_there", F.lit(None).cast("boolean"))
