@@ -105,10 +105,13 @@ def build_site(spark: SparkSession, site_dir: str, label_file: str | None, folde
     return build_dataset(images, labels(spark, label_file), [], tolerance_minutes)
 
 
+#: What the manifest of a variant has to have.
+VARIANT_COLUMNS = ("image_path", "split", "discharge", "year", "month", "image_time")
+
+
 def variant_manifest(manifest: DataFrame, tasks: DataFrame) -> DataFrame:
     """The manifest's rows for each task (site_id, variant, roi_path) of their site; every task needs rows of each split."""
-    need = ["image_path", "split", "discharge", "year", "month", "image_time"]
-    require_columns(manifest, ["site_id", *need])
+    require_columns(manifest, ["site_id", *VARIANT_COLUMNS])
     own = tasks.select("site_id", "variant", "roi_path")
     out = manifest.drop("variant", "roi_path").join(own, "site_id")
     n = out.groupBy("site_id", "variant").agg(*[F.count_if(F.lower(F.trim("split")) == s).alias(s) for s in splits.SPLITS])
