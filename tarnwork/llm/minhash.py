@@ -69,8 +69,19 @@ def _shingles(h: np.ndarray, size: np.ndarray, words: int = WORDS) -> list[np.nd
 FIRST_STEPS = 4
 
 
+#: Elements that draw their permutations together, each taking m bytes and more: as many as 2 MB of prose have, and short words have several times as
+#: many. A larger set goes whole, but takes few steps.
+ELEMENTS = 300_000
+
+
 def superminhash(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
     """Registers (sets x m), infinite for empty sets."""
+    start = np.cumsum([0, *map(len, sets)])
+    edges = [0, *(np.flatnonzero(np.diff(start[:-1] // ELEMENTS)) + 1).tolist(), len(sets)]
+    return np.concatenate([_registers(sets[a:b], m) for a, b in zip(edges, edges[1:], strict=False)])
+
+
+def _registers(sets: list[np.ndarray], m: int) -> np.ndarray:
     size = np.array([len(s) for s in sets], np.int64)
     h = np.full(len(sets) * m, np.inf)
     element, owner = np.concatenate([*sets, np.empty(0, np.uint64)]), np.repeat(np.arange(len(sets), dtype=np.int32), size)

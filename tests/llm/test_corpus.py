@@ -2,10 +2,12 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +137,31 @@ def test_superminhash_is_unbiased():
     assert np.isinf(minhash.superminhash([np.empty(0, np.uint64)])).all()
 
 
+def test_signing_short_words_keeps_to_its_memory():
+    rng = np.random.default_rng(0)
+    texts = [" ".join(row) for row in rng.choice(list("abcdefghij"), (7600, 100))]  # a step of short words
+    assert len(list(common.pieces(pa.array(texts)))) == 1
+    tracemalloc.start()
+    keys = minhash._sign(texts)[3]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6, peak
+    sets = minhash.shingles(texts)
+    at = [0, 1, 3124, 3125, 3126, 7599]
+    alone = [minhash.bands(minhash.superminhash([sets[i]]))[0].tolist() for i in at]
+    assert [keys[i].as_py() for i in at] == alone and sum(map(len, sets)) > 2 * minhash.ELEMENTS
+
+
+def test_superminhash_in_runs_of_sets(monkeypatch):
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 2**62, n).astype(np.uint64)) for n in (0, 3, 500, 0, 40, 41, 7, 0)]
+    whole = minhash.superminhash(sets)
+    for n in (1, 10, 45, 100):
+        monkeypatch.setattr(minhash, "ELEMENTS", n)
+        assert np.array_equal(minhash.superminhash(sets), whole)
+    assert minhash.superminhash([]).shape == (0, minhash.REGISTERS)
+
+
 # --- vectors -------------------------------------------------------------------------------------------------------------
 
 
